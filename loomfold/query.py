@@ -99,14 +99,14 @@ def delete(table: Table, *key: Any) -> Delete:
 
 
 def ops_schema(table: Table) -> T.StructType:
-    out = [T.StructField("seq", T.LongType()), *[T.StructField(f.name, f.spark) for f in table.key], T.StructField("kind", T.StringType()), T.StructField("ts", T.LongType())]
+    out = [T.StructField("_seq", T.LongType()), *[T.StructField(f.name, f.spark) for f in table.key], T.StructField("kind", T.StringType()), T.StructField("ts", T.LongType())]
     for f in table.values:
         out += [T.StructField(f"{f.name}_set", T.BooleanType()), T.StructField(f.name, f.spark)]
     return T.StructType(out)
 
 
 def ops_frame(spark: SparkSession, table: Table, ops: list[tuple[int, Upsert | Delete]]) -> DataFrame:
-    """Stamped operations, in order of arrival, as a wide DataFrame."""
+    """Stamped operations as a wide DataFrame, their order of arrival in ``_seq``."""
     rows = []
     for seq, (ts, op) in enumerate(ops):
         row = [seq, *op.key, "U" if isinstance(op, Upsert) else "D", ts]

@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,13 +185,27 @@ def body_hash(body: bytes, prefix: str = HASH_PREFIX) -> bytes:
     return hashlib.sha256((prefix + "PackBody").encode().ljust(16, b"\0") + body).digest()
 
 
+#: Levels of folders in which packs are looked for: nested topics and the peer.
+LEVELS = 6
+
+
+def _files(spark: SparkSession, folder: str, end: str) -> DataFrame:
+    """The files with an ending below a folder, as rows; bytes are read only if ``content`` is used.
+
+    Topics begin with an underscore, which a recursive listing would skip; a glob doesn't.
+    """
+    places = ",".join("*/" * n + "*" + end for n in range(LEVELS + 1))
+    try:
+        return spark.read.format("binaryFile").load(f"{folder}/{{{places}}}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """(path, file_name, length, modified_at) of the pack headers below a folder, none if it doesn't exist. Bytes aren't read."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(folder)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], "path string, file_name string, length bigint, modified_at timestamp")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.uqp.meta").load(folder)
+    files = _files(spark, folder, ".uqp.meta")
     return files.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("file_name"), "length", F.col("modificationTime").alias("modified_at"))
 
 
@@ -204,7 +219,7 @@ def canonical(files: DataFrame) -> DataFrame:
 def headers(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded headers of the canonical packs below a folder; those that can't be read have ``error``."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.uqp.meta").load(folder)
+    files = _files(spark, folder, ".uqp.meta")
     names = ["packed_at", "parents", "self_supersedes", "self_segments", "peer_data", "body_sha256", "signature"]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -227,7 +242,7 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
 
 def bodies(spark: SparkSession, folder: str, wanted: DataFrame, prefix: str = HASH_PREFIX) -> DataFrame:
     """Bodies of the ``wanted`` headers (path, body_sha256), with ``intact``: whether the hash is the header's."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.uqp").load(folder)
+    files = _files(spark, folder, ".uqp")
     key = F.regexp_replace("path", r"\.meta$", "")
     w = wanted.select(key.alias("body_path"), "body_sha256")
     both = files.select(F.col("path").alias("_path"), "content").join(w, F.col("_path") == F.col("body_path"))
