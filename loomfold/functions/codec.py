@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomfold.session import ship
+from loomfold.session import ship, spread
 
 #: What the first byte of an operation says.
 UPSERT, DELETE = 0, 1
@@ -166,7 +166,7 @@ def encode_ops(ops: DataFrame, carry: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(bodies, pa.binary()), pa.array(errors, pa.string())], [*carry, "body", "error"])
 
     fields = "".join(f"`{c}` {ops.schema[c].dataType.simpleString()}, " for c in carry)
-    return ops.select(*carry, "table_id", "kind", "pk", "sets", "nulls").mapInArrow(run, f"{fields}body binary, error string")
+    return spread(ops.select(*carry, "table_id", "kind", "pk", "sets", "nulls")).mapInArrow(run, f"{fields}body binary, error string")
 
 
 def decode_ops(rows: DataFrame, body: str, carry: list[str]) -> DataFrame:

@@ -32,8 +32,9 @@ def fold(ops: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     up = F.col("kind") == "U"
-    merged = explode(ops).groupBy("table_id", "pk", "column_id").agg(F.max(F.when(up, F.struct("ts", "value"))).alias("m"), F.max(F.when(~up, F.col("ts"))).alias("d"))
-    w = Window.partitionBy("table_id", "pk")
+    # Sorting begins with a hash, as keys of several columns, or texts that begin alike, are slow to compare.
+    merged = explode(ops).withColumn("_p", F.xxhash64("table_id", "pk")).groupBy("_p", "column_id", "table_id", "pk").agg(F.max(F.when(up, F.struct("ts", "value"))).alias("m"), F.max(F.when(~up, F.col("ts"))).alias("d"))
+    w = Window.partitionBy("_p", "table_id", "pk")
     row = F.col("column_id") == ROW
     known = merged.withColumn("_d", F.coalesce(F.max(F.when(row, F.col("d"))).over(w), F.lit(0).cast("bigint"))).withColumn("_u", F.max(F.when(row, F.col("m")["ts"])).over(w))
     shown = known.where((F.col("_u") >= F.col("_d")) & F.col("m").isNotNull() & (row | (F.col("m")["ts"] >= F.col("_d"))))
@@ -47,9 +48,9 @@ def pivot(cells: DataFrame, table: Table) -> DataFrame:
     return own.groupBy("pk").agg(*out, F.max(F.col("column_id") == ROW).alias("_row")).where("_row").drop("_row")
 
 
-def widen(ops: DataFrame, table: Table, keys: list[str]) -> DataFrame:
-    """Wide operations as long ones; ``pk`` is the key columns' JSON."""
+def widen(ops: DataFrame, table: Table, keys: list[str], as_json: bool = False) -> DataFrame:
+    """Wide operations as long ones; ``pk`` is a struct of the key columns, or its JSON where tables with other keys join in."""
     value = lambda f: F.col(f.name) if f.kind in ("text", "i64") else F.hex(F.col(f.name))
     items = [F.when(F.coalesce(F.col(f"{f.name}_set"), F.lit(False)), F.struct(F.lit(f.column_id).alias("column_id"), value(f).cast("string").alias("value"))) for f in table.values]
     cells = F.filter(F.array(*items), lambda c: c.isNotNull()) if items else F.array().cast("array<struct<column_id:int,value:string>>")
-    return ops.select(F.lit(table.table_id).alias("table_id"), F.to_json(F.struct(*keys)).alias("pk"), "kind", "ts", cells.alias("cells"))
+    return ops.select(F.lit(table.table_id).alias("table_id"), (F.to_json(F.struct(*keys)) if as_json else F.struct(*keys)).alias("pk"), "kind", "ts", cells.alias("cells"))

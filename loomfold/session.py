@@ -54,3 +54,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Tasks that an exchange makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for a map that is heavy on CPU: dealt out anew where the scan gives fewer than two tasks a core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -44,7 +44,7 @@ def test_vectors_feed(vectors):
 
 
 def test_vectors_cells(vectors, spark):
-    long = cells.widen(vectors, NOTES, ["k"])
+    long = cells.widen(vectors, NOTES, ["k"], as_json=True)
     got = {int(r["pk"].split(":")[1].rstrip("}")): (r["a"], r["b"]) for r in cells.pivot(cells.fold(long), NOTES).collect()}
     assert got == {i: v[2] for i, v in enumerate(VECTORS) if v[2] is not None}
 
