@@ -25,11 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfold.session import ship
+from loomfold.session import ship, spread
 
 #: Bounds of the labelled sample that the examples are taken from; everything else sees all rows.
 FLAGGED_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 2_500, 4_000, 20_000
@@ -81,12 +81,25 @@ def passages(text: str) -> Iterator[str]:
             yield p
 
 
+_spellings: dict[str, str] = {}
+
+
+def _spelling(w: str) -> str:
+    """A word as disguises and scan errors leave it; remembered, as a corpus has few words."""
+    out = _spellings.get(w)
+    if out is None:
+        if len(_spellings) >= MEMO:
+            _spellings.clear()
+        out = _spellings[w] = "0" if w.isdigit() else w.replace("li", "h").replace("rn", "m").translate(_LOOKALIKE)
+    return out
+
+
 def words(passage: str) -> tuple[str, ...]:
     """Words in a spelling that disguises and scan errors share. A bare name has none."""
     if "!" not in passage and all(w[0].isupper() or len(w) < 3 for w in _LETTERS.findall(passage)):
         return ()
     low = _SPELT.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), passage.lower())
-    return tuple("0" if w.isdigit() else w.replace("li", "h").replace("rn", "m").translate(_LOOKALIKE) for w in _WORD.findall(low))
+    return tuple(map(_spelling, _WORD.findall(low)))
 
 
 def features(ws: Iterable[str], known) -> list[str]:
@@ -152,12 +165,11 @@ class Index:
         v = self.idf[list(ids)]
         return (v / math.sqrt(float(v @ v) + others * OTHER * OTHER)).astype(np.float32)
 
-    def nearest(self, ids: tuple[int, ...], others: int, k: int, skip: int = -1, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, ids: tuple[int, ...], others: int, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and numbers of the k nearest examples, best first; fewer if fewer share a feature."""
         at = list(ids)
         v = self.unit(ids, others)
-        if bound is None:
-            bound = v @ self.most[at]
+        bound = v @ self.most[at]
         # A few blocks give a k-th best; then all blocks whose bound is above it, at once.
         order = np.argsort(-bound, kind="stable")
         self.query[at] = v
@@ -211,16 +223,17 @@ class Model:
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
     source: list[int] = field(default_factory=list)
     hot: int = 0  # blocks that hold objectionable examples
+    hottest: np.ndarray = field(default_factory=lambda: np.empty(0))  # their greatest weight for each feature
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     def passage(self, ids: tuple[int, ...], others: int) -> tuple[float, float, int]:
         """(vote, cosine of the nearest objectionable example, its document)."""
         if not ids or self.index is None or not self.hot:
             return 0.0, 0.0, -1
-        bound = self.index.unit(ids, others) @ self.index.most[list(ids)]
-        if bound[: self.hot].max() < RADIUS:
+        v, at = self.index.unit(ids, others), list(ids)
+        if v @ self.hottest[at] < RADIUS or (v @ self.index.most[at, : self.hot]).max() < RADIUS:
             return 0.0, 0.0, -1
-        sims, who = self.index.nearest(ids, others, NEIGHBOURS, bound=bound)
+        sims, who = self.index.nearest(ids, others, NEIGHBOURS)
         bad = np.flatnonzero(self.value[who] >= 0.5)
         if not bad.size or sims[bad[0]] < RADIUS:
             return 0.0, 0.0, -1
@@ -231,8 +244,11 @@ class Model:
         return float(self.steps[1][max(at, 0)])
 
 
-def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool], margin: list[int], doc_ids: list[int], doc_freq: np.ndarray, n_docs: int) -> Model:
-    """A model from the labelled sample and the document frequencies of all documents."""
+def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool], margin: list[int], doc_ids: list[int], doc_freq: np.ndarray, n_docs: int, search=None) -> Model:
+    """A model from the labelled sample and the document frequencies of all documents.
+
+    ``search(index, examples)`` gives each example's nearest others, here one after the other.
+    """
     model = Model(vocab)
     idf = np.clip(np.log((1.0 + n_docs) / (1.0 + doc_freq)), 0.05, RAREST)
     number: dict[tuple[int, ...], int] = {}
@@ -264,7 +280,7 @@ def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool]
     once = np.bincount(np.fromiter((i for l in inside for i in l), np.int64), minlength=len(examples)) == 1
     base = sum(flagged) / len(flagged)
     index = Index(examples, idf)
-    near = [index.nearest(v, 0, NEIGHBOURS, skip=i) for i, v in enumerate(examples)]
+    near = (search or each_nearest)(index, examples)
     weight = np.minimum(n, 30)
     vote = lambda value, prior, strength: np.array([_vote(np.concatenate([[1.0], s]), np.concatenate([[i], w]), value, weight, prior, strength) for i, (s, w) in enumerate(near)])
     belief = vote(pos / n, base, 2.0)
@@ -298,10 +314,36 @@ def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool]
     keep = np.concatenate([keep[value[keep] >= 0.5], keep[value[keep] < 0.5]])
     model.hot = -(-int((value[keep] >= 0.5).sum()) // BLOCK)
     model.index = Index([examples[i] for i in keep], idf)
+    model.hottest = model.index.most[:, : model.hot].max(axis=1) if model.hot else np.zeros(len(idf), np.float32)
     model.value, model.weight, model.source = value[keep], np.minimum(merged[keep], 60), [int(from_doc[i]) for i in keep]
     return model
 
 
+def each_nearest(index: Index, examples: list[tuple[int, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [index.nearest(v, 0, NEIGHBOURS, skip=i) for i, v in enumerate(examples)]
+
+
+def spread_nearest(spark: SparkSession):
+    """``each_nearest`` on the executors. Examples, and so what comes back, are bounded by the labelled sample."""
+
+    def search(index: Index, examples: list[tuple[int, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        shared = spark.sparkContext.broadcast((index, examples))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, all_ = shared.value
+            for b in batches:
+                at = b.column(0).to_pylist()
+                found = [own.nearest(all_[i], 0, NEIGHBOURS, skip=i) for i in at]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tolist() for s, _ in found], pa.list_(pa.float64())), pa.array([w.tolist() for _, w in found], pa.list_(pa.int64()))], ["id", "sims", "who"])
+
+        tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, len(examples) // 100))
+        rows = spark.range(0, len(examples), 1, tasks).mapInArrow(run, "id bigint, sims array<double>, who array<bigint>").collect()
+        shared.unpersist()
+        return [(np.array(r["sims"]), np.array(r["who"], np.int64)) for r in sorted(rows, key=lambda r: r["id"])]
+
+    return search
+
+
 def score(model: Model, text: str | None, memo: dict) -> tuple[float, str | None, int | None, float | None]:
     """(probability, the passage it is for, document of the nearest objectionable example, cosine)."""
     best, evidence = (0.0, 0.0, -1), None
@@ -363,7 +405,7 @@ def document_frequencies(documents: DataFrame, vocab: Vocabulary) -> tuple[np.nd
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["feature", "n"])
 
-    rows = documents.select("text").mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = spread(documents.select("text")).mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vocab.ids) + 1)
     for r in rows:
         out[r["feature"]] = r["n"]
@@ -376,7 +418,7 @@ def trained(documents: DataFrame, review_labels: DataFrame, **bounds) -> Model:
     rows = labelled(documents, review_labels, **bounds)
     vocab, docs = vocabulary(r["text"] for r in rows)
     freq, n = document_frequencies(documents, vocab)
-    return fit(vocab, docs, [r["flagged"] for r in rows], [r["margin"] for r in rows], [r["doc_id"] for r in rows], freq, n)
+    return fit(vocab, docs, [r["flagged"] for r in rows], [r["margin"] for r in rows], [r["doc_id"] for r in rows], freq, n, spread_nearest(documents.sparkSession))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -395,7 +437,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(e, pa.string()), pa.array(d, pa.int64()), pa.array(c, pa.float64())], ["doc_id", "probability", "evidence", "example_doc_id", "cosine"])
 
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("probability", T.DoubleType()), T.StructField("evidence", T.StringType()), T.StructField("example_doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())])
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def rates(documents: DataFrame, scores: DataFrame, found: float = FOUND) -> DataFrame:

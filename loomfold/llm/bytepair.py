@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomfold.session import ship
+from loomfold.session import ship, spread
 
 #: Where the public vocabularies lie on every machine; a parameter of all functions here.
 VOCABULARIES = "/opt/tokenizers"
@@ -185,7 +185,7 @@ def _counts(vocabulary: str, folder: str):
 
 
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
-    """(key, ids) of every row, in a map without a shuffle.
+    """(key, ids) of every row, in a map; rows move only if the scan gives too few tasks.
 
     Null and empty texts have an empty list; blank texts have the ids of their blanks. Texts
     are encoded whole, at any length. Repeated rows give repeated rows; other columns, of
@@ -194,7 +194,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", voc
     ship(documents.sparkSession)
     kind = documents.schema[key].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return documents.select(key, text).mapInArrow(_ids(vocabulary, folder), schema).withColumnRenamed("id", key)
+    return spread(documents.select(key, text)).mapInArrow(_ids(vocabulary, folder), schema).withColumnRenamed("id", key)
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
@@ -202,4 +202,4 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     ship(documents.sparkSession)
     kind = documents.schema[key].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType())])
-    return documents.select(key, text).mapInArrow(_counts(vocabulary, folder), schema).withColumnRenamed("id", key)
+    return spread(documents.select(key, text)).mapInArrow(_counts(vocabulary, folder), schema).withColumnRenamed("id", key)
