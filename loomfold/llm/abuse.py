@@ -33,6 +33,8 @@ from loomfold.session import ship, spread
 
 #: Bounds of the labelled sample that the examples are taken from; everything else sees all rows.
 FLAGGED_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 2_500, 4_000, 20_000
+#: A passage of at most so many words, all with capitals, is a name or a heading.
+NAME_WORDS = 5
 #: Labelled documents in which a word, and a feature, must occur to be told apart from unknown ones.
 WORD_DOCS, FEATURE_DOCS = 2, 2
 #: Neighbours that vote, and the power of the cosine by which they do.
@@ -96,7 +98,8 @@ def _spelling(w: str) -> str:
 
 def words(passage: str) -> tuple[str, ...]:
     """Words in a spelling that disguises and scan errors share. A bare name has none."""
-    if "!" not in passage and all(w[0].isupper() or len(w) < 3 for w in _LETTERS.findall(passage)):
+    letters = _LETTERS.findall(passage)
+    if len(letters) <= NAME_WORDS and "!" not in passage and all(w[0].isupper() or len(w) < 3 for w in letters):
         return ()
     low = _SPELT.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), passage.lower())
     return tuple(map(_spelling, _WORD.findall(low)))

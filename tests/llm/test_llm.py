@@ -132,6 +132,7 @@ def test_disguises_share_a_spelling():
     for t in ("you rotten 4r$3h0l3!", "you rotten a r s e h o l e!", "you rotten ar­sehole!", "YOU ROTTEN a.r.s.e.h.o.l.e!", "you rotten ärsehole!"):
         assert [abuse.words(p) for p in abuse.passages(t)] == [plainly]
     assert abuse.words("Dr. Anna Smith") == ()
+    assert abuse.words("YOU ARE ALL A ROTTEN LOT.") == abuse.words("You are all a rotten lot.")
 
 
 def corpus(rng, n):
