@@ -133,7 +133,7 @@ def row_history(spark, d):
 @query("cells_fold", f"WITH {fx.fold_sql(fx.LINE_OPS, fx.LINE_STATE)}, live AS (SELECT * FROM f WHERE u >= d) SELECT k0, k1, -1 AS column_id, u AS ts, NULL::VARCHAR AS value FROM live " + " ".join(f"UNION ALL SELECT k0, k1, {c.column_id}, m_{c.name}.t, m_{c.name}.v::VARCHAR FROM live WHERE m_{c.name}.t >= d" for c in fx.LINE_STATE.values))
 def cells_fold(spark, d):
     long = longform.widen(fx.line_ops(spark, d), fx.LINE_STATE, ["k0", "k1"])
-    return longform.fold(long).select("pk.k0", "pk.k1", "column_id", "ts", "value")
+    return longform.fold(long).select("pk.k0", "pk.k1", "column_id", "ts", longform.as_text(F.col("value")).alias("value"))
 
 
 @query("cells_pivot_equals_wide", _live_sql(fx.LINE_OPS, fx.LINE_STATE))

@@ -5,6 +5,8 @@ from helpers import NOTES, down, frame, sequential, up
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from loomfold.operators import cells, compare, feed, fold
 
 #: name, operations, live (a, b) or None, events (kind, changed)
@@ -104,7 +106,7 @@ def test_empty_and_malformed(spark):
 
 
 def test_unknown_tables_and_columns_are_kept(spark):
-    rows = [(999, "k1", "U", 5, [(7, "x")]), (999, "k1", "U", 6, [(200, None)]), (NOTES.table_id, "k2", "U", 5, [(63, "later")])]
-    ops = spark.createDataFrame(rows, "table_id int, pk string, kind string, ts bigint, cells array<struct<column_id:int,value:string>>")
-    got = {(r["table_id"], r["pk"], r["column_id"], r["ts"], r["value"]) for r in cells.fold(ops).collect()}
-    assert got == {(999, "k1", -1, 6, None), (999, "k1", 7, 5, "x"), (999, "k1", 200, 6, None), (NOTES.table_id, "k2", -1, 5, None), (NOTES.table_id, "k2", 63, 5, "later")}
+    rows = [(999, "k1", "U", 5, [(7, (None, None, b"x"))]), (999, "k1", "U", 6, [(200, (None, None, None))]), (999, "k1", "U", 6, [(129, (9, None, None))]), (999, "k1", "U", 6, [(129, (10, None, None))]), (NOTES.table_id, "k2", "U", 5, [(63, (None, None, b"later"))])]
+    ops = spark.createDataFrame(rows, f"table_id int, pk string, kind string, ts bigint, cells {cells.CELLS}")
+    got = {(r["table_id"], r["pk"], r["column_id"], r["ts"], r["v"]) for r in cells.fold(ops).withColumn("v", cells.as_text(F.col("value"))).collect()}
+    assert got == {(999, "k1", -1, 6, None), (999, "k1", 7, 5, "78"), (999, "k1", 200, 6, None), (999, "k1", 129, 6, "10"), (NOTES.table_id, "k2", -1, 5, None), (NOTES.table_id, "k2", 63, 5, "6C61746572")}
