@@ -64,7 +64,7 @@ _LOOKALIKE = str.maketrans({"1": "i", "l": "i", "|": "i", "!": "i", "0": "o", "3
 _SPELT = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_]){2,}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[\w*@$|]+(?:!+[\w@$|]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TITLE = "".join(rf"(?<!\b{t}\.)" for t in ("Hon", "Mr", "Ms", "Mx", "Dr", "St", "Mrs", "No"))
+_TITLE = "".join(rf"(?<!\b{t}\.)" for t in ("Hon", "Mr", "Ms", "Mx", "Dr", "St", "Mrs", "No", r"[^\W\d_]"))
 _BORDER = re.compile(rf"(?<=[.!?;…]){_TITLE}[\"”»’')\]]*\s+|\n+|(?<=[\])])\s*|(?=[\[(])|\s+[–—]\s+|(?<=[^\W\d]):\s+|[“”„«»\"]")
 
 
