@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -39,11 +39,16 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    target = os.path.join(tempfile.mkdtemp(prefix="loomfold-code-"), "loomfold_code.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, str(Path(_PACKAGE.name) / p.relative_to(_PACKAGE)))
-    spark.sparkContext.addPyFile(target)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark, 'code')}/loomfold_code.zip")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(where, False)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(files.makeQualified(where).toString())
     _shipped.add(app)
 
 
@@ -57,6 +62,6 @@ def width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows for a map that is heavy on CPU: dealt out anew where the scan gives fewer than two tasks a core."""
+    """Rows for a map that is heavy on CPU: dealt out anew only where the scan gives fewer tasks than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(4 * cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
