@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from loomfold.session import ship, spread
 
 #: Bounds of the labelled sample that the examples are taken from; everything else sees all rows.
-FLAGGED_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 2_500, 4_000, 20_000
+FLAGGED_SAMPLE, CLEAN_SAMPLE = 2_500, 4_000
 #: A passage of at most so many words, all with capitals, is a name or a heading.
 NAME_WORDS = 5
 #: Labelled documents in which a word, and a feature, must occur to be told apart from unknown ones.
@@ -381,8 +381,8 @@ def labelled(documents: DataFrame, review_labels: DataFrame, flagged_most: int =
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = decided.where("flagged").orderBy(*order).limit(flagged_most).unionByName(decided.where("NOT flagged").orderBy(*order).limit(clean_most))
     texts = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
-    # Texts of the sample only; a very long one is taken whole in scoring, here its beginning will do.
-    rows = texts.join(F.broadcast(ids.select("doc_id", "flagged", "margin")), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "flagged", "margin")
+    # Texts of the sample only, whole.
+    rows = texts.join(F.broadcast(ids.select("doc_id", "flagged", "margin")), "doc_id").select("doc_id", "text", "flagged", "margin")
     return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
 
 
