@@ -49,8 +49,6 @@ BLOCK = 32
 FIRST = 8
 #: Inverse document frequencies are cut here, as otherwise names outweigh all else; unknown words count as OTHER.
 RAREST, OTHER = 5.5, 3.0
-#: Clean examples this near to another are counted with it.
-SAME = 0.65
 #: Probability from which a document is found.
 FOUND = 0.5
 #: Distinct passages whose scores a worker remembers.
@@ -282,8 +280,7 @@ def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool]
         pos[l] += m * y
     once = np.bincount(np.fromiter((i for l in inside for i in l), np.int64), minlength=len(examples)) == 1
     base = sum(flagged) / len(flagged)
-    index = Index(examples, idf)
-    near = (search or each_nearest)(index, examples)
+    near = (search or each_nearest)(Index(examples, idf), examples)
     weight = np.minimum(n, 30)
     vote = lambda value, prior, strength: np.array([_vote(np.concatenate([[1.0], s]), np.concatenate([[i], w]), value, weight, prior, strength) for i, (s, w) in enumerate(near)])
     belief = vote(pos / n, base, 2.0)
@@ -301,24 +298,12 @@ def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool]
     seen = np.where(once, alone, belief)
     scores = np.array([max((seen[i] for i in l), default=0.0) for l in inside])
     model.steps = isotonic(scores, np.array(flagged, float))
-    # Clean examples that are close together count as one, which leaves the votes as they are and the index small.
-    merged = weight.copy()
-    stays = np.ones(len(examples), bool)
-    for i in np.argsort(-n, kind="stable"):
-        if value[i] < 0.05:
-            for s, j in zip(*near[i]):
-                if s < SAME:
-                    break
-                if stays[j] and value[j] < 0.05 and (n[j], -j) > (n[i], -i):
-                    stays[i] = False
-                    merged[j] += merged[i]
-                    break
-    keep = np.flatnonzero(stays)
-    keep = np.concatenate([keep[value[keep] >= 0.5], keep[value[keep] < 0.5]])
+    # Every example stays, so that passages are weighed as the labelled documents were; objectionable ones come first.
+    keep = np.concatenate([np.flatnonzero(value >= 0.5), np.flatnonzero(value < 0.5)])
     model.hot = -(-int((value[keep] >= 0.5).sum()) // BLOCK)
     model.index = Index([examples[i] for i in keep], idf)
     model.hottest = model.index.most[:, : model.hot].max(axis=1) if model.hot else np.zeros(len(idf), np.float32)
-    model.value, model.weight, model.source = value[keep], np.minimum(merged[keep], 60), [int(from_doc[i]) for i in keep]
+    model.value, model.weight, model.source = value[keep], weight[keep], [int(from_doc[i]) for i in keep]
     return model
 
 

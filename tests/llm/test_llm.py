@@ -172,6 +172,22 @@ def test_held_out_labels(spark):
     assert set(rates) == {"a", "b", None} and sum(r["n_documents"] for r in rates.values()) == 903
 
 
+def test_every_example_votes():
+    rows = corpus(random.Random(5), 300)
+    vocab, docs = abuse.vocabulary(r[1] for r in rows)
+    distinct = {v for doc in docs for ws in doc if (v := vocab.vector(ws)[0])}
+    model = abuse.fit(vocab, docs, [r[5] for r in rows], [1] * len(rows), [r[0] for r in rows], np.ones(len(vocab.ids)), 300)
+    assert model.index.n == len(distinct) and model.weight.max() <= 30
+    dense = np.zeros((model.index.n, len(vocab.ids)))
+    dense[model.index.owner, model.index.term] = model.index.weight
+    # Each is found as itself, so the rows are the labelled examples; all of them vote.
+    assert {tuple(np.flatnonzero(r).tolist()) for r in dense} == distinct
+    for v in sorted(distinct):
+        s = dense[:, list(v)] @ model.index.unit(v, 0)
+        sims, who = model.index.nearest(v, 0, abuse.NEIGHBOURS)
+        assert np.allclose(sims, np.sort(s[s > 0])[::-1][: abuse.NEIGHBOURS], atol=1e-5)
+
+
 def test_no_labels_no_documents(spark):
     docs = spark.createDataFrame([(1, "You swine!", "a", "x", "y")], DOCS)
     none = spark.createDataFrame([], "doc_id bigint, rater string, label string")
