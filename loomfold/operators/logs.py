@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from loomfold.functions.scalar import HASH_PREFIX
 from loomfold.session import ship, work_folder
 
-#: Rows of a page of changes, rows and bytes of a page of segments, levels of forks.
-CHANGES_PAGE, PAGE_ROWS, PAGE_BYTES, MAX_DEPTH = 1_000, 1_024, 4 << 20, 64
+#: Rows of a page of changes, rows and bytes of a page of segments.
+CHANGES_PAGE, PAGE_ROWS, PAGE_BYTES = 1_000, 1_024, 4 << 20
 LOG = ["peer", "container"]
 
 
@@ -57,17 +58,17 @@ def published_marks(published: DataFrame, news: DataFrame) -> DataFrame:
     return both.groupBy("remote_id", "branch_id").agg(F.max("published_size").alias("published_size"))
 
 
-def branch_paths(branches: DataFrame, leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def branch_paths(branches: DataFrame, leaves: DataFrame) -> DataFrame:
     """(leaf, branch_id, upper, depth): each leaf's way to its root, with the size up to which a branch counts.
 
     One join a level over the leaves that aren't at their root yet; a leaf that comes back to a
-    branch of its way (a cycle) stops there.
+    branch of its way (a cycle) stops there, so that there are at most as many levels as branches.
     """
     spark = branches.sparkSession
     root = work_folder(spark, "paths")
     b = branches.select("id", "parent_id", "fork_size")
     front = leaves.select(F.col("id").alias("leaf"), F.col("id").alias("branch_id"), F.col("head_size").alias("upper"), F.lit(0).alias("depth"), F.array("id").alias("_way"))
-    for level in range(max_depth):
+    for level in count():
         front.write.parquet(f"{root}/level={level:03d}")
         last = spark.read.parquet(f"{root}/level={level:03d}")
         if last.isEmpty():

@@ -194,6 +194,16 @@ def test_paths_stop_at_cycles(spark):
     assert got == {(3, 3, 20, 0), (3, 2, 7, 1), (3, 1, 5, 2), (4, 4, 2, 0), (4, 5, 1, 1)}
 
 
+def test_deep_paths_reach_their_root(spark):
+    n = 67
+    b = spark.createDataFrame([(i, i - 1 if i else None, i if i else None, i + 1) for i in range(n)], "id bigint, parent_id bigint, fork_size bigint, head_size bigint")
+    paths = logs.branch_paths(b, b.where(F.col("id") == n - 1))
+    assert sorted((r["depth"], r["branch_id"], r["upper"]) for r in paths.collect()) == [(n - 1 - i, i, n if i == n - 1 else i + 1) for i in reversed(range(n))]
+    segments = spark.createDataFrame([(i, i, i + 1, 10) for i in range(n)], "branch_id bigint, start_idx bigint, end_size bigint, len bigint")
+    page = logs.fetch_pages(paths, segments, 0, max_bytes=30)
+    assert sorted(r["start_idx"] for r in page.collect()) == [0, 1, 2]
+
+
 def test_ranges_touching_become_one(spark):
     r = spark.createDataFrame([("a", 0, 2), ("a", 2, 3), ("a", 5, 6), ("a", 5, 9), ("a", 4, 4), ("b", 1, 2)], "p string, s bigint, e bigint")
     c = logs.covered_ranges(r, ["p"], "s", "e")
