@@ -185,16 +185,22 @@ def body_hash(body: bytes, prefix: str = HASH_PREFIX) -> bytes:
     return hashlib.sha256((prefix + "PackBody").encode().ljust(16, b"\0") + body).digest()
 
 
-#: Levels of folders in which packs are looked for: nested topics and the peer.
-LEVELS = 6
+def _levels(spark: SparkSession, folder: str) -> int:
+    """How many levels of folders and files lie below a folder."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    n = 0
+    while files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder + "/*" * (n + 1))):
+        n += 1
+    return n
 
 
 def _files(spark: SparkSession, folder: str, end: str) -> DataFrame:
-    """The files with an ending below a folder, as rows; bytes are read only if ``content`` is used.
+    """The files with an ending below a folder, however deep, as rows; bytes are read only if ``content`` is used.
 
     Topics begin with an underscore, which a recursive listing would skip; a glob doesn't.
     """
-    places = ",".join("*/" * n + "*" + end for n in range(LEVELS + 1))
+    places = ",".join("*/" * n + "*" + end for n in range(max(1, _levels(spark, folder))))
     try:
         return spark.read.format("binaryFile").load(f"{folder}/{{{places}}}")
     except AnalysisException as error:

@@ -264,6 +264,13 @@ def test_packs_round_trip(spark, tmp_path):
 # --- streams
 
 
+def test_packs_of_deep_topics_are_listed(spark, tmp_path):
+    for parts in (1, 8):
+        pk.write_pack(str(tmp_path.joinpath(*["_t"] * parts, "ab")), "0001-0002-000000000000000a-00", {"packed_at": 5, "parents": [], "self_supersedes": [], "self_segments": [], "peer_data": [], "body_sha256": pk.body_hash(b""), "signature": b"\0" + b"s" * 64}, b"")
+    assert pk.listing(spark, str(tmp_path)).count() == 2
+    assert pk.headers(spark, str(tmp_path)).where("error IS NULL").count() == 2
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from test_fold import random_ops
 
