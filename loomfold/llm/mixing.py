@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +12,10 @@ from pyspark.sql import types as T
 from loomfold.llm.bytepair import VOCABULARIES, token_counts
 from loomfold.session import work_folder
 
-#: Hash ranges by which a fraction of a source is taken; the share is met to within one range.
+#: Hash ranges by which a fraction of a source is taken; what it falls short by is less than any range left out.
 RANGES = 1 << 12
+#: Ranges in a number whose bits say which are taken.
+WORD = 32
 #: More targets than this are refused, as the plan is made on the driver.
 MOST_SOURCES = 100_000
 
@@ -87,8 +90,9 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
 
     Sizes are tokens. ``total`` is the wanted size of the mixture, by default what the sources
     hold together. A source to be used r times gives each document floor(r) times and, by a
-    seeded hash of its id, a part of its documents once more, so that the tokens come out right
-    to within one of RANGES ranges; never more than ``max_repeats`` times. Null and empty texts
+    seeded hash of its id, a part of its documents once more: those of every one of RANGES ranges,
+    in their order, that still fits; never more than ``max_repeats`` times. What a source falls
+    short by, less than the tokens of any range left out, isn't given to others. Null and empty texts
     have no tokens, and documents of other or null sources no part. Equal ids fall in one range.
     """
     spark = documents.sparkSession
@@ -107,15 +111,19 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
     plan = fill(targets, available, sum(available.values()) if total is None else total)
     whole = {s.source: min(int(s.repeats), s.max_repeats) for s in plan}
     aims = spark.createDataFrame([(s.source, whole[s.source], float(max(0.0, s.goal - whole[s.source] * s.available))) for s in plan], "source string, whole int, extra double")
-    # A source has at most RANGES rows here, whatever its size.
-    upto = F.sum("n").over(_by_bucket())
-    cut = ranges.join(F.broadcast(aims), "source").withColumn("upto", upto).where("upto <= extra").groupBy("source").agg(F.max("bucket").alias("cut"))
-    cuts = aims.join(cut, "source", "left").select("source", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
-    rows = sizes.join(F.broadcast(cuts), "source").withColumn("copies", F.col("whole") + (F.col("bucket") <= F.col("cut")).cast("int"))
+    # A source has at most RANGES rows here, whatever its size, and then one row.
+    taken = ranges.join(F.broadcast(aims), "source").groupBy("source").applyInArrow(_taken, "source string, whole int, taken array<bigint>")
+    word = F.get("taken", F.expr(f"cast(bucket div {WORD} AS int)"))
+    once_more = F.expr(f"shiftright(_word, cast(bucket % {WORD} AS int)) & 1").cast("int")
+    rows = sizes.join(F.broadcast(taken), "source").withColumn("_word", word).withColumn("copies", F.col("whole") + once_more)
     return Mixture(rows.where("copies > 0").select("doc_id", "source", "copies", "n_tokens"), plan)
 
 
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+def _taken(rows: pa.Table) -> pa.Table:
+    """A source's whole repetitions, and as bits the ranges it gives once more: each that fits beside those before it."""
+    left, words = rows["extra"][0].as_py(), [0] * (-(-RANGES // WORD))
+    for bucket, n in sorted(zip(rows["bucket"].to_pylist(), rows["n"].to_pylist())):
+        if n <= left:
+            left -= n
+            words[bucket // WORD] |= 1 << bucket % WORD
+    return pa.table({"source": rows["source"][:1], "whole": rows["whole"][:1], "taken": pa.array([words], pa.list_(pa.int64()))})

@@ -96,6 +96,15 @@ def test_mixture(spark):
     assert mixing.mix(docs, targets.limit(0)).rows.count() == 0
 
 
+def test_large_range_is_passed_over(spark):
+    ids = spark.range(500).selectExpr("id", f"pmod(xxhash64(id, 17), {mixing.RANGES}) AS bucket").orderBy("bucket", "id").collect()
+    docs = spark.createDataFrame([(r["id"], "word " * 3000 if r["id"] == ids[0]["id"] else "tiny text", "s", "x", "y") for r in ids], DOCS)
+    targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    r = mixing.mix(docs, targets, total=600).report().first()
+    tiny = min(x["n_tokens"] for x in mixing.mix(docs, targets).rows.collect())
+    assert 600 - 2 * tiny <= r["mixed_tokens"] <= 600
+
+
 # --- 8
 
 
