@@ -56,31 +56,46 @@ def run(source: DataFrame, target: VersionedTable, key: list[str], version: str,
 def covered(records: DataFrame, attempts: DataFrame, by: list[str], position: str, since: str, low: str, high: str, began: str) -> DataFrame:
     """Records for which an attempt with equal ``by`` has ``low < position <= high`` and ``began >= since``.
 
-    The axis is cut into slices no narrower than the mean attempt, so all attempts together
-    touch at most three slices each on average, whatever their lengths; attempts that span
-    a whole slice collapse into the latest of them. The result is one equi-join on (by, slice)
-    that keeps the records' side streaming and leaves hot slices to be split. Nulls in any of
-    the compared columns match nothing; intervals that hold no position are ignored.
+    The result is one equi-join on (by, slice) that keeps the records' side streaming and leaves
+    hot slices to be split; see ``sliced``. Nulls in any of the compared columns match nothing;
+    intervals that hold no position are ignored.
     """
-    real = attempts.where(F.col(low) < F.col(high)).where(F.col(began).isNotNull())
-    # A sum of doubles: lengths may add up to more than a bigint holds.
-    mean = real.agg(F.avg(F.col(high).cast("double") - F.col(low).cast("double"))).first()[0]
-    step = max(1, int(mean or 1))
+    own, pieces = sliced(records, attempts, by, position, low, high, began)
+    on = facing(own, pieces, by) & (own[position] > pieces["_lo"]) & (own[position] <= pieces["_hi"]) & (own[since] <= pieces["_at"])
+    return own.join(pieces, on, "left_semi").drop("_slice", "_bits")
+
+
+def sliced(records: DataFrame, attempts: DataFrame, by: list[str], position: str, low: str, high: str, began: str) -> tuple[DataFrame, DataFrame]:
+    """Records with their ``_slice``, and the pieces (_by_..., _in, _lo, _hi, _at) of the attempts in each slice.
+
+    Each ``by`` has slices of its own width, as units and lengths may differ from one to the
+    next: a power of two from the mean length of its attempts, cut to where its records are.
+    So its attempts touch at most three slices each on average, whatever their lengths, and where they
+    follow one another a slice holds few of them; attempts that span a whole slice collapse into
+    the latest of them.
+    """
+    names = {c: f"_by_{c}" for c in by}
+    span = records.groupBy(*by).agg(F.min(position).alias("_least"), F.max(position).alias("_most")).withColumnsRenamed(names)
+    real = attempts.where(F.col(low) < F.col(high)).where(F.col(began).isNotNull()).select(*[F.col(c).alias(n) for c, n in names.items()], F.col(low).alias("_lo"), F.col(high).alias("_hi"), F.col(began).alias("_at"))
+    before = F.coalesce(F.try_subtract("_least", F.lit(1)), F.col("_least"))
+    cut = real.groupBy(*names.values(), "_lo", "_hi").agg(F.max("_at").alias("_at")).join(span, list(names.values())).withColumns({"_lo": F.greatest("_lo", before), "_hi": F.least("_hi", "_most")}).where("_lo < _hi").drop("_least", "_most")
+    # Lengths as doubles: they may be longer than a bigint holds.
+    mean = F.avg(F.col("_hi").cast("double") - F.col("_lo").cast("double"))
+    widths = cut.groupBy(*names.values()).agg(F.least(F.ceil(F.log2(mean)), F.lit(62)).cast("int").alias("_bits"))
     pieces = (
-        real.select(*by, F.col(low).alias("_lo"), F.col(high).alias("_hi"), F.col(began).alias("_at"), F.explode(F.sequence(_slice(F.col(low) + 1, step), _slice(F.col(high), step), F.lit(step).cast("bigint"))).alias("_slice"))
-        .withColumn("_lo", F.greatest("_lo", F.col("_slice") - 1))
-        .withColumn("_hi", F.least("_hi", F.col("_slice") + (step - 1)))
-        .groupBy(*by, "_slice", "_lo", "_hi")
+        cut.join(widths, list(names.values()))
+        .withColumn("_in", F.explode(F.expr("sequence(shiftright(_lo + 1, _bits), shiftright(_hi, _bits))")))
+        .withColumns({"_lo": F.expr("greatest(_lo, coalesce(try_subtract(shiftleft(_in, _bits), 1), _lo))"), "_hi": F.expr("least(_hi, shiftleft(_in, _bits) + (shiftleft(1L, _bits) - 1))")})
+        .groupBy(*names.values(), "_in", "_lo", "_hi")
         .agg(F.max("_at").alias("_at"))
     )
-    pieces = pieces.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_slice").alias("_in"), "_lo", "_hi", "_at")
-    own = records.withColumn("_slice", _slice(F.col(position), step))
-    on = (own["_slice"] == pieces["_in"]) & (own[position] > pieces["_lo"]) & (own[position] <= pieces["_hi"]) & (own[since] <= pieces["_at"])
-    for c in by:
-        on = on & (own[c] == pieces[f"_by_{c}"])
-    return own.join(pieces, on, "left_semi").drop("_slice")
+    own = records.join(widths.withColumnsRenamed({n: c for c, n in names.items()}), by).withColumn("_slice", F.expr(f"shiftright(`{position}`, _bits)"))
+    return own.select(*records.columns, "_slice", "_bits"), pieces
 
 
-def _slice(position: Column, step: int) -> Column:
-    """The first position of the slice; bigint arithmetic only, as stamps don't fit in a double."""
-    return position - F.pmod(position, F.lit(step).cast("bigint"))
+def facing(own: DataFrame, pieces: DataFrame, by: list[str]) -> Column:
+    """The keys on which records meet pieces."""
+    on = own["_slice"] == pieces["_in"]
+    for c in by:
+        on = on & (own[c] == pieces[f"_by_{c}"])
+    return on

@@ -72,6 +72,23 @@ def test_covered_equals_brute_force(spark, seed):
     assert incremental.covered(d, a.limit(0), ["r"], "v", "seen", "lo", "hi", "at").count() == 0
 
 
+def test_covered_slices_each_unit_apart(spark):
+    """Stamps and milliseconds, a run that covers all, and one replica with a third of the rows: few candidates a record."""
+    rng, runs, recs = random.Random(4), [], []
+    for kind, step in (("pack", 3_600_000), ("change", 3_600_000 << 16)):
+        for replica, n in ((1, 400), (2, 60), (3, 1)):
+            runs += [(kind, replica, i * step, (i + 1) * step, i) for i in range(n)]
+            recs += [(kind, replica, rng.randrange(n * step), rng.randrange(n)) for _ in range(3 * n)]
+    runs.append(("pack", 1, -(2**63), 2**63 - 1, 7))
+    a = spark.createDataFrame(runs, "kind string, r bigint, lo bigint, hi bigint, at bigint")
+    d = spark.createDataFrame(recs, "kind string, r bigint, v bigint, seen bigint")
+    got = sorted(map(tuple, incremental.covered(d, a, ["kind", "r"], "v", "seen", "lo", "hi", "at").collect()))
+    assert got == sorted(x for x in recs if any(y[:2] == x[:2] and y[2] < x[2] <= y[3] and y[4] >= x[3] for y in runs))
+    own, pieces = incremental.sliced(d, a, ["kind", "r"], "v", "lo", "hi", "at")
+    assert pieces.count() <= 4 * len(runs)
+    assert own.join(pieces, incremental.facing(own, pieces, ["kind", "r"])).count() <= 6 * len(recs)
+
+
 @pytest.mark.parametrize("bits", [2, 11])
 def test_orphans_equal_brute_force(spark, bits):
     rng = random.Random(bits)
