@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from loomfold.operators import fold
 from loomfold.schema import Catalog, SchemaError, Table, reconcile
 
-#: What only reads, by its first word.
-READS = ("select", "with", "values", "from", "table", "describe", "show", "explain")
+#: Parsed commands that only describe, by the name of their plan, and kinds of plans that aren't plain queries.
+DESCRIBING = ("DescribeRelation", "DescribeRelationJson", "DescribeColumn", "DescribeTableCommand", "DescribeQueryCommand", "DescribeFunction", "DescribeFunctionCommand", "DescribeNamespace", "ShowTables", "ShowTablesCommand", "ShowColumns", "ShowColumnsCommand", "ShowFunctions", "ShowFunctionsCommand", "ShowViews", "ShowNamespaces", "ShowTableProperties", "ShowPartitions", "ShowCreateTable")
+NO_QUERY = ("Command", "ParsedStatement", "CompoundPlanStatement", "InsertIntoDir", "Call")
 
 
 class CardinalityError(LookupError):
@@ -39,6 +40,27 @@ def bind(value: Any) -> Any:
     raise TypeError(f"{type(value).__name__} can't be bound")
 
 
+def reads(spark: SparkSession, text: str) -> bool:
+    """Whether a statement only reads, by its parsed plan: nowhere in it a command, a write or a script, but for descriptions.
+
+    Text that can't be parsed raises the parser's error; nothing is run either way.
+    """
+    load = spark._jvm.org.apache.spark.util.Utils.classForName
+    kind = lambda name: load(f"org.apache.spark.sql.catalyst.plans.logical.{name}", True, False)
+    logical, others = kind("LogicalPlan"), [kind(n) for n in NO_QUERY]
+
+    def sound(plan) -> bool:
+        name = plan.getClass().getSimpleName()
+        if name == "ExplainCommand":
+            return sound(plan.logicalPlan())
+        if "ExecuteImmediate" in name or name not in DESCRIBING and any(k.isInstance(plan) for k in others):
+            return False
+        below = [x.apply(i) for x in (plan.children(), plan.innerChildren()) for i in range(x.size())]
+        return all(sound(x) for x in below if logical.isInstance(x))
+
+    return sound(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+
+
 def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -165,9 +187,8 @@ class Store:
         return build(view).select(*view.columns)
 
     def sql(self, text: str, *args: Any) -> DataFrame:
-        """Any statement that only reads, with positional arguments."""
-        words = text.lstrip("( \n\t").split(None, 1)
-        if not words or words[0].lower() not in READS:
+        """Any statement that only reads, with positional arguments; nothing is run before that is certain."""
+        if not reads(self.spark, text):
             raise PermissionError("only statements that read are allowed")
         return self.spark.sql(text, args=[bind(a) for a in args]) if args else self.spark.sql(text)
 
