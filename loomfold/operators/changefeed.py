@@ -3,30 +3,39 @@
 The state of a key is (upsert stamp, delete stamp, and for each cell its value and stamp); two
 states merge by taking the greater of each part. Operations are folded to states where they
 are read, a bounded number of rows at a time, so that a hot key leaves each map task as a few
-rows. The states are then spread over buckets by the hash of the whole key, and each bucket is
-built by a DuckDB inside its task: conflicting inserts update a stored row only where the new
+rows. The states are then spread over buckets by the hash of the whole key, and each bucket that
+they touch is built by a DuckDB inside its task: first the rows stored so far, then the new states
+by conflicting inserts, a bounded number at a time, which update a row only where the new
 stamp, or at equal stamps the new value, is greater. Deletes stay as tombstones, so operations
-that come late find them. The buckets' results become the next version of the table at once.
+that come late find them. The buckets' results, and the buckets that weren't touched, become the next
+version of the table at once.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfold.session import ship, width
+from loomfold.session import mounted, shared_folder, ship
+from loomfold.sources import bucketed
+from loomfold.sources.bucketed import BUCKET
 from loomfold.sources.versioned import Version, VersionedTable
 
-#: Rows of input that one statement takes; bounds the memory of a task besides its bucket.
-STATEMENT_ROWS = 200_000
-#: Operations that a bucket is planned for.
-BUCKET_ROWS = 400_000
-#: Memory that one embedded database may take.
+#: Rows and bytes of operations that are folded at a time where they are read.
+FOLD_ROWS, FOLD_BYTES = 200_000, 64 << 20
+#: Rows and bytes of states that one upsert takes; bounds the memory of a task besides its bucket.
+STATEMENT_ROWS, STATEMENT_BYTES = 20_000, 16 << 20
+#: Memory that one embedded database may take; beyond it the database spills.
 MEMORY = "400MB"
 
 _SQL = {"string": "VARCHAR", "bigint": "BIGINT", "binary": "BLOB"}
@@ -73,23 +82,24 @@ class Shape:
         return f"INSERT INTO state {self.merge_select('incoming')} ON CONFLICT ({self.keys}) DO UPDATE SET {', '.join(sets)} WHERE {when}"
 
 
-def _connect():
+def _connect(spill: str | None = None):
     import duckdb
 
     con = duckdb.connect(":memory:")
-    con.execute(f"SET threads = 1; SET memory_limit = '{MEMORY}'; SET temp_directory = ''; SET preserve_insertion_order = false")
+    con.execute(f"SET threads = 1; SET memory_limit = '{MEMORY}'; SET preserve_insertion_order = false")
+    con.execute("SET temp_directory = ?", [spill or ""])
     return con
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    held, rows = [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.Table]:
+    held, n, b = [], 0, 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            rows += batch.num_rows
-        if rows >= most:
+            n, b = n + batch.num_rows, b + batch.nbytes
+        if n >= rows or b >= size:
             yield pa.Table.from_batches(held)
-            held, rows = [], 0
+            held, n, b = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -98,12 +108,12 @@ def _batches(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield from table.cast(schema).to_batches(max_chunksize=10_000)
 
 
-def _prefold(shape: Shape, most: int):
+def _prefold(shape: Shape, rows: int):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, schema = _connect(), to_arrow_schema(shape.schema)
-        for incoming in _chunks(batches, most):
+        for incoming in _chunks(batches, rows, FOLD_BYTES):
             con.register("incoming", incoming)
             yield from _batches(con.sql(shape.merge_select("incoming")).to_arrow_table(), schema)
             con.unregister("incoming")
@@ -112,19 +122,47 @@ def _prefold(shape: Shape, most: int):
     return fold
 
 
-def _build(shape: Shape, most: int):
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(bucket, whether new, rows) of a stream that is in this order; the last two columns say which."""
+    for b in batches:
+        bucket, new = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+        at = 0
+        while at < b.num_rows:
+            end, of = at, (bucket[at].as_py(), new[at].as_py())
+            if (bucket[b.num_rows - 1].as_py(), new[b.num_rows - 1].as_py()) == of:
+                end = b.num_rows
+            else:
+                while (bucket[end].as_py(), new[end].as_py()) == of:
+                    end += 1
+            yield *of, b.slice(at, end - at).select(range(b.num_columns - 2))
+            at = end
+
+
+def _build(shape: Shape, rows: int, spill: str | None):
+    """Buckets, each from its stored rows and then its new states; a task that has several builds them one after the other."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con, schema = _connect(), to_arrow_schema(shape.schema)
-        con.execute(shape.create)
-        for incoming in _chunks(batches, most):
-            con.register("incoming", incoming)
-            con.execute(shape.upsert)
-            con.unregister("incoming")
-        for batch in con.sql("FROM state").to_arrow_reader(10_000):
-            yield from _batches(pa.Table.from_batches([batch]), schema)
-        con.close()
+        own = f"{spill}/{uuid.uuid4().hex}" if spill else None
+        if own:
+            os.makedirs(own)
+        con, schema = _connect(own), to_arrow_schema(shape.schema)
+        try:
+            for bucket, spans in groupby(_spans(batches), key=itemgetter(0)):
+                con.execute(shape.create)
+                for new, part in groupby(spans, key=itemgetter(1)):
+                    for incoming in _chunks((x[2] for x in part), rows, STATEMENT_BYTES):
+                        con.register("incoming", incoming)
+                        con.execute(shape.upsert if new else "INSERT INTO state FROM incoming")
+                        con.unregister("incoming")
+                for batch in con.sql("FROM state").to_arrow_reader(10_000):
+                    for b in _batches(pa.Table.from_batches([batch]), schema):
+                        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bucket] * b.num_rows, pa.int32())], [*schema.names, BUCKET])
+                con.execute("DROP TABLE state")
+        finally:
+            con.close()
+            if own:
+                shutil.rmtree(own, ignore_errors=True)
 
     return build
 
@@ -148,24 +186,27 @@ def effective(ops: DataFrame, shape: Shape) -> DataFrame:
     return ops.where(real).select(*columns)
 
 
-def apply(spark: SparkSession, ops: DataFrame, target: VersionedTable, shape: Shape, n_ops: int | None = None) -> Version:
+def apply(spark: SparkSession, ops: DataFrame, target: VersionedTable, shape: Shape, buckets: int | None = None) -> Version:
     """Merge ``ops`` into ``target`` and publish the next version.
 
-    The stored states join the new ones as further input, so an op that was applied before, or
-    comes late, changes nothing it shouldn't. ``n_ops`` sets the number of buckets where the
-    caller knows it; it is counted otherwise.
+    An op that was applied before, or comes late, changes nothing it shouldn't. ``ops`` is read
+    once; only buckets that it touches are read and rewritten. ``buckets`` sets their number for
+    a new table, which is else planned by bytes. Where the shared folder is mounted a bucket that
+    is larger than planned spills there.
     """
     ship(spark)
     base = target.current()
-    n = ops.count() if n_ops is None else n_ops
-    folded = effective(ops, shape).mapInArrow(_prefold(shape, STATEMENT_ROWS), shape.schema)
-    stored = target.read(base)
-    if base.parts:
-        n += stored.count()
-        folded = folded.unionByName(stored)
-    buckets = max(width(spark), -(-n // BUCKET_ROWS))
-    built = folded.repartition(buckets, *[c for c, _ in shape.key]).mapInArrow(_build(shape, STATEMENT_ROWS), shape.schema)
-    return target.replace(built, facts={"buckets": buckets}, base=base)
+    folded, n_bytes = bucketed.staged(spark, effective(ops, shape).mapInArrow(_prefold(shape, FOLD_ROWS), shape.schema))
+    plan = bucketed.plan(target, base, folded, n_bytes, [c for c, _ in shape.key], buckets)
+    rows = plan.incoming.withColumn("_new", F.lit(True))
+    if plan.stored is not None:
+        rows = plan.stored.withColumn("_new", F.lit(False)).unionByName(rows)
+    placed = rows.repartitionById(plan.tasks, F.pmod(BUCKET, F.lit(plan.tasks)))
+    if plan.stored is not None or not plan.exact:
+        placed = placed.sortWithinPartitions(BUCKET, "_new")
+    out = T.StructType([*shape.schema, T.StructField(BUCKET, T.IntegerType())])
+    built = placed.mapInArrow(_build(shape, STATEMENT_ROWS, mounted(f"{shared_folder(spark)}/spill")), out)
+    return bucketed.publish(target, base, plan, built)
 
 
 def live(state: DataFrame, shape: Shape) -> DataFrame:

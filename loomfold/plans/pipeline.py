@@ -84,8 +84,26 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return changefeed.cells(current_state(spark, folder), changefeed.ROW_OPS)
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("k0", "k1", "upsert_ts", "delete_ts", "body", "n", F.hex("who").alias("who"))
+
+
 def p4_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return current_state(spark, folder).select("k0", "k1", "upsert_ts", "delete_ts", "body", "n", F.hex("who").alias("who"))
+    return _shown(current_state(spark, folder))
+
+
+def p4_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows after four runs, each with what arrived since the one before; later runs meet stored rows."""
+    ops = table(spark, folder, "row_ops")
+    target = VersionedTable(spark, work_folder(spark, "row-state"), changefeed.ROW_OPS.schema)
+    at = F.col("arrived_at").cast("timestamp").cast("double")
+    cuts = ops.agg(*[F.percentile_approx(at, p, 1000).alias(f"c{p}") for p in (0.25, 0.5, 0.75)]).first()
+    for i, high in enumerate([*cuts, None]):
+        low = cuts[i - 1] if i else None
+        here = F.lit(True) if low is None else at > low
+        here = here & (at <= high) if high is not None else here
+        changefeed.apply(spark, ops.where(F.coalesce(here, F.lit(i == 0))), target, changefeed.ROW_OPS)
+    return _shown(changefeed.live(target.read(), changefeed.ROW_OPS))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,6 +160,8 @@ f AS (SELECT k0, k1, coalesce(max(ts) FILTER (WHERE up), 0) AS u, coalesce(max(t
   max(struct_pack(t := ts, p := who IS NOT NULL, v := who)) FILTER (WHERE up AND who_set) AS mw FROM ops GROUP BY ALL),
 live AS (SELECT k0, k1, u, d, CASE WHEN mb.t >= d THEN mb END AS mb, CASE WHEN mn.t >= d THEN mn END AS mn, CASE WHEN mw.t >= d THEN mw END AS mw FROM f WHERE u >= 1 AND u >= d)"""
 
+_P4_ROWS = f"WITH {_FOLD} SELECT k0, k1, u AS upsert_ts, nullif(d, 0) AS delete_ts, mb.v AS body, mn.v AS n, hex(mw.v) AS who FROM live"
+
 QUERIES = {
     "p1_found": (p1_found, f"WITH {_WAITING} SELECT record_type, record_id FROM waiting"),
     "p1_backlog": (p1_backlog, f"WITH {_WAITING} SELECT record_type, replica, count(*) AS n_waiting, max(version) AS newest_version FROM waiting GROUP BY ALL"),
@@ -150,7 +170,8 @@ QUERIES = {
     "p3_found": (p3_found, f"WITH {_KEPT} SELECT delivery_id FROM packs WHERE delivery_id NOT IN (SELECT delivery_id FROM kept)"),
     "p3_kept": (p3_kept, f"WITH {_KEPT} SELECT delivery_id, pack_id, seq_end, generation FROM kept"),
     "p4_found": (p4_found, f"WITH {_FOLD} SELECT k0, k1, 'row' AS cell, u AS ts FROM live UNION ALL SELECT k0, k1, 'body', mb.t FROM live WHERE mb.p UNION ALL SELECT k0, k1, 'n', mn.t FROM live WHERE mn.p UNION ALL SELECT k0, k1, 'who', mw.t FROM live WHERE mw.p"),
-    "p4_rows": (p4_rows, f"WITH {_FOLD} SELECT k0, k1, u AS upsert_ts, nullif(d, 0) AS delete_ts, mb.v AS body, mn.v AS n, hex(mw.v) AS who FROM live"),
+    "p4_rows": (p4_rows, _P4_ROWS),
+    "p4_incremental": (p4_incremental, _P4_ROWS),
     "p5_found": (p5_found, f"WITH {_KEPT} SELECT pack_id, seq_end FROM kept WHERE deleted_at IS NULL AND coalesce(body_len, greatest(list_max([s.body_end FOR s IN self_segments]), list_max(flatten([[s.body_end FOR s IN p.segments] FOR p IN peer_data])))) < 16384"),
     "p5_segments": (p5_segments, f"""WITH {_KEPT}, cur AS (SELECT * FROM kept WHERE deleted_at IS NULL),
 pd AS (SELECT pack_id, seq_end, unnest(peer_data) AS p FROM cur),

@@ -34,6 +34,12 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def mounted(folder: str) -> str | None:
+    """A shared folder as a path that a task can open by itself; None where only Spark's file systems reach it."""
+    kind, colon, path = folder.partition(":")
+    return folder if folder.startswith("/") else "/" + path.lstrip("/") if colon and kind == "file" else None
+
+
 def ship(spark: SparkSession) -> None:
     """Give the workers this package, once an application, so that functions pickled by name resolve there."""
     app = spark.sparkContext.applicationId

@@ -183,6 +183,37 @@ def test_change_feed_equals_brute_force(spark, tmp_path, monkeypatch, statement)
     assert target.current().number == 2
 
 
+def test_change_feed_rewrites_touched_buckets_and_splits_full_ones(spark, tmp_path, monkeypatch):
+    from loomfold.sources import bucketed
+
+    rng = random.Random(3)
+    key = lambda ops: [(*o[:2], o[0] % 50, *o[3:]) for o in ops]
+    first = key(random_ops(rng, 600))
+    target = VersionedTable(spark, str(tmp_path / "s"), SHAPE.schema)
+    lines = lambda: {tuple(r) for r in cf.cells(cf.live(target.read(), SHAPE), SHAPE).collect()}
+    v1 = cf.apply(spark, spark.createDataFrame(first, OPS), target, SHAPE, buckets=16)
+    assert v1.facts["buckets"] == 16 and v1.facts["rewritten"] == len(target.below(v1.parts[0])) > 8
+    more = [(0, "a", 7, "U", 9, True, "late", False, None, None, None, "", ""), (1, "a", 7, "delete", 2, None, None, None, None, None, None, "", "")]
+    v2 = cf.apply(spark, spark.createDataFrame(more, OPS), target, SHAPE)
+    assert v2.facts["rewritten"] == 1 and len(v2.parts) == v1.facts["rewritten"] and lines() == brute(first + more)
+    sizes = target.read().agg(F.sum(bucketed.row_bytes(SHAPE.schema))).first()[0]
+    assert v2.facts["bytes"] == sizes
+    monkeypatch.setattr(bucketed, "BUCKET_BYTES", v2.facts["bytes"] // 16)
+    third = key(random_ops(rng, 300))
+    v3 = cf.apply(spark, spark.createDataFrame(third, OPS), target, SHAPE)
+    assert v3.facts["buckets"] >= 32 and len(v3.parts) == 1 and lines() == brute(first + more + third)
+    assert target.read(v1).count() == len({(o[1], o[2]) for o in first if None not in o[1:3] and (o[4] or 0) >= 1 and (o[3] or "").strip()[:1].lower() in ("u", "d")})
+
+
+def test_large_bucket_spills(spark, tmp_path):
+    """400,000 keys of 1.2 KB each, thrice the memory of a task's database, in one bucket, and once more over it."""
+    n = 400_000
+    ops = spark.range(n).selectExpr("id AS seq", "'k' AS k0", "id AS k1", "'U' AS kind", "5L AS ts", "true AS body_set", "rpad(sha2(cast(id AS string), 512), 1200, sha2(cast(id + 1 AS string), 512)) AS body", "false AS n_set", "1L AS n", "false AS who_set", "cast(NULL AS binary) AS who")
+    target = VersionedTable(spark, str(tmp_path / "s"), SHAPE.schema)
+    cf.apply(spark, ops, target, SHAPE, buckets=1)
+    assert target.read().agg(F.count("*"), F.sum(F.length("body"))).first()[:] == (n, n * 1200)
+
+
 def test_change_feed_of_nothing(spark, tmp_path):
     target = VersionedTable(spark, str(tmp_path / "s"), SHAPE.schema)
     cf.apply(spark, spark.createDataFrame([], OPS), target, SHAPE)
