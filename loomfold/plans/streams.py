@@ -9,7 +9,7 @@ from loomfold.functions import codec
 from loomfold.operators import fold
 from loomfold.plans import core
 from loomfold.plans import fixtures as fx
-from loomfold.session import work_folder
+from loomfold.session import table, work_folder
 from loomfold.sources.versioned import VersionedTable
 from loomfold.streaming import merge
 
@@ -23,12 +23,33 @@ def stream_fold_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return fold.live(target.read(), t)
 
 
-def stream_feed(spark: SparkSession, d: str) -> DataFrame:
+def _feed_of_stream(spark: SparkSession, ops: DataFrame, t) -> DataFrame:
     root = work_folder(spark, "stream-feed")
+    target = VersionedTable(spark, f"{root}/snapshot", merge.snapshot_schema(t))
+    merge.run_to_end(merge.into_feed(ops, target, t, f"{root}/feed", f"{root}/checkpoint"))
+    return merge.read_feed(spark, f"{root}/feed", t)
+
+
+def stream_feed(spark: SparkSession, d: str) -> DataFrame:
     ops = fx.user_ops_of(merge.parquet_stream(spark, f"{d}/events.parquet"), fx.COARSE)
-    out = merge.feed(ops, fx.USER_STATE)
-    merge.run_to_end(out.writeStream.format("parquet").option("path", f"{root}/feed").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start())
-    return spark.read.schema(out.schema).parquet(f"{root}/feed").select("seq", "user_id", "kind", "ts", F.array_join("changed", ",").alias("changed"))
+    return _feed_of_stream(spark, ops, fx.USER_STATE).select("seq", "user_id", "kind", "ts", F.array_join("changed", ",").alias("changed"))
+
+
+LARGE = 1 << 60
+
+
+def stream_feed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The feed of values beyond 2**53 that come in four parts, the stream being stopped and started in between."""
+    t, root, e = fx.USER_STATE, work_folder(spark, "stream-feed-in"), table(spark, d, "events")
+    target = VersionedTable(spark, f"{root}/snapshot", merge.snapshot_schema(t))
+    least, most = e.agg(F.min("event_id"), F.max("event_id")).first()
+    step = ((most or 0) - (least or 0)) // 4 + 1
+    for i in range(4):
+        part = e.where((F.col("event_id") >= (least or 0) + i * step) & (F.col("event_id") < (least or 0) + (i + 1) * step))
+        part.write.mode("append").parquet(f"{root}/events")
+        ops = fx.user_ops_of(merge.parquet_stream(spark, f"{root}/events"), fx.COARSE).withColumn("score", F.col("score") + LARGE)
+        merge.run_to_end(merge.into_feed(ops, target, t, f"{root}/feed", f"{root}/checkpoint"))
+    return merge.read_feed(spark, f"{root}/feed", t).select("seq", "user_id", "kind", "ts", F.array_join("changed", ",").alias("changed"))
 
 
 def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +74,7 @@ _ON = ", ".join(f"kind = 'U' AND coalesce({c}_set, false) AS {c}_set" for c in (
 QUERIES = {
     "stream_fold_equals_batch": (stream_fold_equals_batch, _LIVE),
     "stream_feed": (stream_feed, core.QUERIES["change_feed"][1]),
+    "stream_feed_batches": (stream_feed_batches, core.QUERIES["change_feed"][1].replace("CAST(round(value * 100) AS BIGINT)", f"CAST(round(value * 100) AS BIGINT) + {LARGE}")),
     "codec_roundtrip": (
         codec_roundtrip,
         f"WITH {fx.ROW_OPS} SELECT seq, {fx.ROW_STATE.table_id} AS table_id, kind, k0, k1, {_ON}, CASE WHEN kind = 'U' AND body_set THEN body END AS body, CASE WHEN kind = 'U' AND n_set THEN n END AS n, CASE WHEN kind = 'U' AND who_set THEN hex(who) END AS who, NULL::VARCHAR AS error FROM ops WHERE k0 IS NOT NULL AND k1 IS NOT NULL",

@@ -1,24 +1,26 @@
 """The merge over streams: running state, atomic snapshots, the change feed.
 
 Late operations are never dropped for their age, so nothing here sets a watermark; state
-grows with the number of keys.
+grows with the number of keys. Snapshots lie in buckets, of which a micro-batch rewrites those
+that its keys fall in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomfold.operators import fold
+from loomfold.operators.feed import change_feed
 from loomfold.schema import Table
-from loomfold.session import ship
-from loomfold.sources.versioned import VersionedTable
+from loomfold.sources import bucketed
+from loomfold.sources.bucketed import BUCKET
+from loomfold.sources.versioned import Version, VersionedTable
 
 
 def states(ops: DataFrame, table: Table) -> DataFrame:
@@ -26,20 +28,30 @@ def states(ops: DataFrame, table: Table) -> DataFrame:
     return fold.partials(ops, table)
 
 
+def _merge_in(batch: DataFrame, target: VersionedTable, base: Version, table: Table, facts: dict, before: Callable[[DataFrame | None], None] | None = None) -> Version:
+    """The next snapshot: partial states of the batch merged with those stored in the buckets they touch."""
+    new, n_bytes = bucketed.staged(batch.sparkSession, fold.partials(batch, table))
+    plan = bucketed.plan(target, base, new, n_bytes, table.keys)
+    if before:
+        before(target.read_parts(base.parts) if base.parts else None)
+    rows = plan.incoming if plan.stored is None else plan.stored.unionByName(plan.incoming)
+    names = ["u", "d", *[f"m_{f.name}" for f in table.values]]
+    # One exchange, by bucket, serves the merge and the files.
+    merged = rows.repartition(plan.tasks, BUCKET).groupBy(BUCKET, *table.keys).agg(*[F.max(n).alias(n) for n in names])
+    return bucketed.publish(target, base, plan, merged, facts)
+
+
 def into_snapshot(ops: DataFrame, target: VersionedTable, table: Table, checkpoint: str, on_version: Callable[[int], None] | None = None) -> StreamingQuery:
     """Merge each micro-batch into a stored snapshot of partial states, published atomically.
 
-    The version's facts hold the batch id, so a batch that is tried again after its version
-    was published does nothing; merging is idempotent besides.
+    Merging is idempotent, so a batch that is tried again after its version was published
+    changes nothing, and any number of streams, each with its checkpoint, may feed a snapshot
+    one after the other.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
         base = target.current()
-        if base.facts.get("batch_id", -1) >= batch_id:
-            return
-        new = fold.partials(batch, table)
-        both = fold.merge(target.read(base), new, table=table) if base.parts else new
-        version = target.replace(both, facts={"batch_id": batch_id}, base=base)
+        version = _merge_in(batch, target, base, table, {"taken": base.facts.get("taken", {})})
         if on_version:
             on_version(version.number)
 
@@ -52,57 +64,62 @@ def snapshot_schema(table: Table) -> T.StructType:
     return T.StructType(out)
 
 
-def _rank(v) -> tuple:
-    return (v is not None, v if v is not None else 0)
-
-
-def _own(v):
-    """A value from pandas as Python has it; null if missing."""
-    if v is None or (not isinstance(v, (str, bytes, bytearray)) and pd.isna(v)):
-        return None
-    return bytes(v) if isinstance(v, (bytes, bytearray)) else int(v) if not isinstance(v, str) else v
-
-
-def _feed(table: Table, order: str):
-    names = [f.name for f in table.values]
-
-    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
-        u, d = (held[0], held[1]) if held else (0, 0)
-        best = {n: (held[2 + 2 * i], held[3 + 2 * i]) if held else (0, None) for i, n in enumerate(names)}
-        seen, out = held is not None, []
-        rows = pd.concat(list(batches)).sort_values(order)
-        for r in rows.to_dict("records"):
-            ts = int(r["ts"])
-            if r["kind"] == "D":
-                if not seen or ts > d:
-                    out.append((int(r[order]), *key, "D", ts, []))
-                d = max(d, ts)
-            else:
-                named = {n: _own(r[n]) for n in names if r[f"{n}_set"] is True or r[f"{n}_set"] == True}  # noqa: E712
-                rank = {n: ((ts, *_rank(v)), (best[n][0], *_rank(best[n][1]))) for n, v in named.items()}
-                if not seen or (ts >= d and (ts > u or any(a > b for a, b in rank.values()))):
-                    out.append((int(r[order]), *key, "U", ts, [n for n in names if n in rank and rank[n][0] >= rank[n][1]]))
-                for n, (a, b) in rank.items():
-                    if a > b:
-                        best[n] = (ts, named[n])
-                u = max(u, ts)
-            seen = True
-        state.update((u, d, *[x for n in names for x in best[n]]))
-        yield pd.DataFrame(out, columns=[order, *table.keys, "kind", "ts", "changed"])
-
-    return take
-
-
-def feed(ops: DataFrame, table: Table, order: str = "seq") -> DataFrame:
-    """The change feed of a stream, in arrival order: within a micro-batch by ``order``, else as batches come.
-
-    A key's state is its two stamps and its best cells, so it doesn't grow with its history.
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """What names a stream as long as its checkpoint lives."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/metadata")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+
+
+def _as_operations(states: DataFrame, table: Table, place: T.StructType) -> DataFrame:
+    """Stored states as the fewest operations that lead to them, placed before all others."""
+    flags = lambda own: [x for f in table.values for x in (F.lit(f is own).alias(f"{f.name}_set"), (F.col(f"m_{f.name}.v") if f is own else F.lit(None).cast(f.spark)).alias(f.name))]
+    one = lambda kind, ts, own=None: F.when(ts.isNotNull(), F.struct(F.lit(kind).alias("kind"), ts.alias("ts"), *flags(own)))
+    parts = [one("U", F.col("u")), one("D", F.col("d")), *[one("U", F.col(f"m_{f.name}.t"), f) for f in table.values]]
+    return states.select(*table.keys, F.lit(None).cast(place).alias("_place"), F.explode(F.array_compact(F.array(*parts))).alias("_o")).select(*table.keys, "_place", "_o.*")
+
+
+def into_feed(ops: DataFrame, target: VersionedTable, table: Table, out: str, checkpoint: str, order: str = "seq") -> StreamingQuery:
+    """The change feed of a stream into ``out``, in order of arrival: within a micro-batch by ``order``, else as batches come.
+
+    A batch's feed is that of its operations after the stored states of its keys, so it is made by
+    the same built-in windows as in batch: values keep their types, and a hot key is a sorted
+    partition that spills, not a group in memory. The feed of a batch is written under its number
+    before the snapshot is published; a retry replaces it, or finds that the snapshot has the batch.
     """
-    ship(ops.sparkSession)
-    out = T.StructType([T.StructField(order, T.LongType()), *[T.StructField(f.name, f.spark) for f in table.key], T.StructField("kind", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("changed", T.ArrayType(T.StringType()))])
-    held = T.StructType([T.StructField("u", T.LongType()), T.StructField("d", T.LongType()), *[x for f in table.values for x in (T.StructField(f"t_{f.name}", T.LongType()), T.StructField(f"v_{f.name}", f.spark))]])
-    return fold.admissible(ops, table).groupBy(*table.keys).applyInPandasWithState(_feed(table, order), out, held, "append", GroupStateTimeout.NoTimeout)
+    spark = ops.sparkSession
+    keep = [*table.keys, "kind", "ts", *[x for f in table.values for x in (f"{f.name}_set", f.name)]]
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        base, me = target.current(), _stream_id(spark, checkpoint)
+        taken = base.facts.get("taken", {})
+        if taken.get(me, -1) >= batch_id:
+            return
+        new = batch.select(F.struct(F.col(order)).alias("_place"), *keep)
+
+        def write(stored: DataFrame | None) -> None:
+            both = new
+            if stored is not None:
+                known = stored.join(new.select(*table.keys).distinct(), table.keys, "left_semi")
+                both = new.unionByName(_as_operations(known, table, new.schema["_place"].dataType))
+            feed = change_feed(both, table, "_place").where("_place IS NOT NULL").select(F.col("_place")[order].alias(order), *table.keys, "kind", "ts", "changed")
+            feed.write.mode("overwrite").parquet(f"{out}/stream={me}/batch={batch_id:012d}")
+
+        _merge_in(batch, target, base, table, {"taken": taken | {me: batch_id}}, write)
+
+    return ops.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def feed_schema(table: Table, order: str = "seq") -> T.StructType:
+    return T.StructType([T.StructField(order, T.LongType()), *[T.StructField(f.name, f.spark) for f in table.key], T.StructField("kind", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("changed", T.ArrayType(T.StringType()))])
+
+
+def read_feed(spark: SparkSession, out: str, table: Table, order: str = "seq") -> DataFrame:
+    schema = feed_schema(table, order)
+    return spark.read.schema(schema).parquet(out).select(*schema.names)
 
 
 def run_to_end(query: StreamingQuery) -> None:
