@@ -58,32 +58,49 @@ def published_marks(published: DataFrame, news: DataFrame) -> DataFrame:
     return both.groupBy("remote_id", "branch_id").agg(F.max("published_size").alias("published_size"))
 
 
-def branch_paths(branches: DataFrame, leaves: DataFrame) -> DataFrame:
+def branch_paths(branches: DataFrame, leaves: DataFrame, on_loop: str = "stop") -> DataFrame:
     """(leaf, branch_id, upper, depth): each leaf's way to its root, with the size up to which a branch counts.
 
-    One join a level over the leaves that aren't at their root yet; a leaf that comes back to a
-    branch of its way (a cycle) stops there, so that there are at most as many levels as branches.
+    By pointer doubling: a round joins the ways so far to leaps of their own length, so a way of
+    n forks takes log2(n) rounds, whatever its depth. A leaf that comes back to a branch of its way
+    (a loop, which no sound log has) stops there, or is an error if ``on_loop`` is "raise".
     """
     spark = branches.sparkSession
     root = work_folder(spark, "paths")
-    b = branches.select("id", "parent_id", "fork_size")
-    front = leaves.select(F.col("id").alias("leaf"), F.col("id").alias("branch_id"), F.col("head_size").alias("upper"), F.lit(0).alias("depth"), F.array("id").alias("_way"))
-    for level in count():
-        front.write.parquet(f"{root}/level={level:03d}")
-        last = spark.read.parquet(f"{root}/level={level:03d}")
-        if last.isEmpty():
-            break
-        up = last.join(b, last["branch_id"] == b["id"]).where("parent_id IS NOT NULL").where(~F.array_contains("_way", F.col("parent_id")))
-        front = up.select("leaf", F.col("parent_id").alias("branch_id"), F.col("fork_size").alias("upper"), F.lit(level + 1).alias("depth"), F.concat("_way", F.array("parent_id")).alias("_way"))
-    return spark.read.parquet(root).select("leaf", "branch_id", "upper", "depth")
+    leap = branches.where("parent_id IS NOT NULL").select(F.col("id").alias("_from"), F.col("parent_id").alias("_to"), F.col("fork_size").alias("_upper"))
+    ways = leaves.select(F.col("id").alias("leaf"), F.col("id").alias("branch_id"), F.col("head_size").alias("upper"), F.lit(0).cast("bigint").alias("depth"))
+    most = branches.count()
+    for i in count():
+        ways.write.parquet(f"{root}/ways/{i}")
+        leap.write.parquet(f"{root}/leaps/{i}")
+        ways, leap = (spark.read.schema(df.schema).parquet(f"{root}/{name}/{i}") for name, df in (("ways", ways), ("leaps", leap)))
+        more = ways.join(leap, ways["branch_id"] == leap["_from"]).select("leaf", F.col("_to").alias("branch_id"), F.col("_upper").alias("upper"), (F.col("depth") + (1 << i)).alias("depth"))
+        if leap.isEmpty() or more.isEmpty():
+            return ways
+        ways = ways.unionByName(more)
+        if 1 << i > most:
+            if on_loop == "raise":
+                raise ValueError("a branch descends from itself")
+            # Whoever still has a way to go walks in a loop, each branch of which was seen by now.
+            first = ways.groupBy("leaf", "branch_id").agg(F.min(F.struct("depth", "upper")).alias("_m"))
+            return first.select("leaf", "branch_id", "_m.upper", "_m.depth")
+        nearer = leap.select(F.col("_from").alias("_a"), F.col("_to").alias("_b"))
+        leap = nearer.join(leap, nearer["_b"] == leap["_from"]).select(F.col("_a").alias("_from"), "_to", "_upper")
 
 
 def fetch_pages(paths: DataFrame, segments: DataFrame, start: int, max_bytes: int = PAGE_BYTES, max_rows: int = PAGE_ROWS) -> DataFrame:
-    """For each leaf the first page of segments past a size: root first, at least one, within bytes and rows."""
-    s = segments.select("branch_id", "start_idx", "end_size", "len").distinct()
+    """For each leaf the first page of segments past a size: root first, at least one, within bytes and rows.
+
+    Branches are cut to a page each before they meet the leaves, so a leaf takes at most a page
+    and the segment that exceeds it from every branch of its way. A segment that starts before an
+    earlier one (lines that overlap) isn't cut there, as for some leaf not all that precede it may count.
+    """
+    s = segments.where(F.col("end_size") > start).select("branch_id", "start_idx", "end_size", "len").distinct()
+    here = Window.partitionBy("branch_id").orderBy("end_size", "start_idx").rowsBetween(Window.unboundedPreceding, 0)
+    own = s.withColumns({"_sum": F.sum("len").over(here), "_n": F.count(F.lit(1)).over(here), "_top": F.max("start_idx").over(here)})
+    cut = own.where((F.col("start_idx") < F.col("_top")) | ((F.col("_sum") - F.col("len") <= max_bytes) & (F.col("_n") <= max_rows + 1))).drop("_sum", "_n", "_top")
     w = Window.partitionBy("leaf").orderBy(F.col("depth").desc(), "end_size", "start_idx").rowsBetween(Window.unboundedPreceding, 0)
-    on_way = paths.join(s, "branch_id").where((F.col("end_size") > start) & (F.col("start_idx") < F.col("upper")))
-    counted = on_way.withColumn("_sum", F.sum("len").over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
+    counted = paths.join(cut, "branch_id").where(F.col("start_idx") < F.col("upper")).withColumns({"_sum": F.sum("len").over(w), "_n": F.count(F.lit(1)).over(w)})
     return counted.where((F.col("_n") == 1) | ((F.col("_sum") <= max_bytes) & (F.col("_n") <= max_rows))).select("leaf", "depth", "branch_id", "start_idx", "end_size", "len")
 
 
@@ -158,9 +175,18 @@ def head_placement(start: Column, end: Column, head: Column, hash_at_head: Colum
 
 
 def lookup(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """Segments that hold the entries asked for: (branch_id, idx) with start_idx <= idx < end_size."""
-    s = segments.select("branch_id", "start_idx", "end_size", "len").distinct()
-    return points.join(s, "branch_id").where((F.col("start_idx") <= F.col("idx")) & (F.col("idx") < F.col("end_size")))
+    """Segments that hold the entries asked for: (branch_id, idx) with start_idx <= idx < end_size.
+
+    Segments are cut at slices of about their branch's mean length, so the join is on (branch,
+    slice): a point meets the few segments of its slice, not all of its branch, and a branch that
+    is hot falls apart. Overlapping segments all count; empty ones hold nothing.
+    """
+    s = segments.where("start_idx < end_size").select("branch_id", "start_idx", "end_size", "len").distinct()
+    mean = F.avg(F.col("end_size").cast("double") - F.col("start_idx").cast("double"))
+    bits = s.groupBy("branch_id").agg(F.least(F.ceil(F.log2(mean)), F.lit(62)).cast("int").alias("_bits"))
+    pieces = s.join(bits, "branch_id").withColumn("_slice", F.explode(F.expr("sequence(shiftright(start_idx, _bits), shiftright(end_size - 1, _bits))"))).drop("_bits")
+    asked = points.join(bits, "branch_id").withColumn("_slice", F.expr("shiftright(idx, _bits)")).drop("_bits")
+    return asked.join(pieces, ["branch_id", "_slice"]).where("start_idx <= idx AND idx < end_size").drop("_slice")
 
 
 def tips(packs: DataFrame, by: list[str]) -> DataFrame:

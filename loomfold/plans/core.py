@@ -201,10 +201,10 @@ def hash_tagged(spark, d):
     return p.select("id", h.alias("peer_hex"), F.lower(F.hex(scalar.tagged_sha256("PeerInit", F.col("peer_id")))).alias("init_hash"), F.hex(scalar.parse_peer_hex(h)).alias("parsed"), scalar.is_uuid(F.col("peer_id")).alias("is_uuid"))
 
 
-@query("zigzag_text_checks", "SELECT seq, CASE WHEN n >= 0 THEN n * 2 ELSE -n * 2 - 1 END AS zig, n AS back, body IS NOT NULL AND instr(body, chr(0)) = 0 AS is_text FROM row_ops WHERE abs(n) < 1000000000000")
+@query("zigzag_text_checks", "SELECT seq, CAST(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END AS BIGINT) AS zig, n AS back, body IS NOT NULL AND instr(body, chr(0)) = 0 AS is_text FROM (SELECT *, CASE WHEN n >= 0 THEN n::HUGEINT * 2 ELSE -(n::HUGEINT) * 2 - 1 END AS x FROM row_ops)")
 def zigzag_text_checks(spark, d):
     z = scalar.zigzag(F.col("n"))
-    return table(spark, d, "row_ops").where("abs(n) < 1000000000000").select("seq", z.alias("zig"), scalar.unzigzag(z).alias("back"), F.coalesce(scalar.is_text(F.col("body")), F.lit(False)).alias("is_text"))
+    return table(spark, d, "row_ops").select("seq", z.alias("zig"), scalar.unzigzag(z).alias("back"), F.coalesce(scalar.is_text(F.col("body")), F.lit(False)).alias("is_text"))
 
 
 # --- feed and clock ---------------------------------------------------------------------------
@@ -343,7 +343,7 @@ def published_high_water(spark, d):
     return logs.published_marks(_published(spark, d).withColumn("remote_id", F.col("remote_id").cast("int")), news)
 
 
-_PATH = "RECURSIVE leaves AS (SELECT * FROM branches WHERE id NOT IN (SELECT parent_id FROM branches WHERE parent_id IS NOT NULL)), p AS (SELECT id AS leaf, id AS branch_id, head_size AS upper, 0 AS depth FROM leaves UNION ALL SELECT p.leaf, b.parent_id, b.fork_size, p.depth + 1 FROM p JOIN branches b ON b.id = p.branch_id WHERE b.parent_id IS NOT NULL AND p.depth < 63)"
+_PATH = "RECURSIVE leaves AS (SELECT * FROM branches WHERE id NOT IN (SELECT parent_id FROM branches WHERE parent_id IS NOT NULL)), p AS (SELECT id AS leaf, id AS branch_id, head_size AS upper, 0 AS depth FROM leaves UNION ALL SELECT p.leaf, b.parent_id, b.fork_size, p.depth + 1 FROM p JOIN branches b ON b.id = p.branch_id WHERE b.parent_id IS NOT NULL)"
 
 
 def _paths(spark, d):

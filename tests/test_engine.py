@@ -96,8 +96,10 @@ def test_store(spark):
     assert [r["k"] for r in s.query("events_t", lambda d: d.where(F.col("seq") == 1).orderBy(F.desc("k")).offset(1).limit(5)).collect()] == ["a"]
     assert s.sql("SELECT count(*) AS n FROM events_t WHERE k = ?", "a").first()["n"] == 1
     assert s.describe("events_t")[0] == ("k", "text", 0)
-    with pytest.raises(PermissionError):
-        s.sql("DROP VIEW events_t")
+    for text in ("DROP VIEW events_t", "WITH a AS (SELECT 1 AS x) INSERT INTO tt SELECT * FROM a", "FROM (SELECT 1 AS x) INSERT INTO tt SELECT x", "EXPLAIN DROP VIEW events_t", "SET a = b", "EXECUTE IMMEDIATE 'DROP VIEW events_t'", "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1"):
+        with pytest.raises(PermissionError):
+            s.sql(text)
+    assert s.sql("WITH a AS (SELECT 1 AS x) SELECT x FROM a").count() == 1 and s.sql("DESCRIBE events_t").count() == 4
     with pytest.raises(TypeError):
         s.sql("SELECT ?", 1.5)
     with pytest.raises(q.CardinalityError):
@@ -204,6 +206,42 @@ def test_deep_paths_reach_their_root(spark):
     assert sorted(r["start_idx"] for r in page.collect()) == [0, 1, 2]
 
 
+def test_long_chains_and_loops(spark):
+    n = 200
+    b = spark.createDataFrame([(i, i - 1 if i else None, i if i else None, i + 1) for i in range(n)], "id bigint, parent_id bigint, fork_size bigint, head_size bigint")
+    paths = logs.branch_paths(b, b.where("id IN (199, 5)"), on_loop="raise")
+    assert paths.groupBy("leaf").agg(F.count("*"), F.count_distinct("branch_id"), F.max("depth")).orderBy("leaf").collect() == [(5, 6, 6, 5), (199, 200, 200, 199)]
+    ring = spark.createDataFrame([(i, (i + 1) % 3, 1, 2) for i in range(3)], b.schema)
+    with pytest.raises(ValueError):
+        logs.branch_paths(ring, ring, on_loop="raise")
+
+
+def test_pages_and_lookups_equal_brute_force(spark):
+    rng = random.Random(6)
+    b = [(1, None, None, 60), (2, 1, 20, 50), (3, 2, 30, 70), (4, 1, 5, 40)]
+    # At most one segment for each place, as those of one place may come in either order.
+    s = list({(i, a, z): (i, a, z, rng.randint(1, 30)) for i in (1, 2, 3, 4) for a in range(0, 60, 4) for _ in range(rng.randint(0, 2)) if (z := a + rng.randint(0, 9))}.values())
+    paths = logs.branch_paths(spark.createDataFrame(b, "id bigint, parent_id bigint, fork_size bigint, head_size bigint"), spark.createDataFrame(b, "id bigint, parent_id bigint, fork_size bigint, head_size bigint"))
+    segments = spark.createDataFrame(s, "branch_id bigint, start_idx bigint, end_size bigint, len bigint")
+    way = {}
+    for r in paths.collect():
+        way.setdefault(r["leaf"], []).append((r["depth"], r["branch_id"], r["upper"]))
+    for most, rows in ((40, 99), (200, 3), (0, 5)):
+        want = set()
+        for leaf, w in way.items():
+            total = n = 0
+            for depth, branch, upper in sorted(w, reverse=True):
+                for x in sorted({x for x in s if x[0] == branch and x[2] > 3 and x[1] < upper}, key=lambda x: (x[2], x[1], x[3])):
+                    total, n = total + x[3], n + 1
+                    if n == 1 or total <= most and n <= rows:
+                        want.add((leaf, depth, *x))
+        got = logs.fetch_pages(paths, segments, 3, most, rows).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    points = [(rng.randint(1, 5), rng.randint(-3, 70)) for _ in range(200)]
+    got = sorted(map(tuple, logs.lookup(spark.createDataFrame(points, "branch_id bigint, idx bigint"), segments).collect()))
+    assert got == sorted((p[0], p[1], *x[1:]) for p in points for x in set(s) if x[0] == p[0] and x[1] <= p[1] < x[2])
+
+
 def test_ranges_touching_become_one(spark):
     r = spark.createDataFrame([("a", 0, 2), ("a", 2, 3), ("a", 5, 6), ("a", 5, 9), ("a", 4, 4), ("b", 1, 2)], "p string, s bigint, e bigint")
     c = logs.covered_ranges(r, ["p"], "s", "e")
@@ -286,12 +324,32 @@ def test_stream_equals_batch(spark, tmp_path):
     live, events = sequential(ops)
     assert {r["k"]: (r["a"], r["b"]) for r in fold.live(target.read(), NOTES).collect()} == live
     assert target.current().number == 4
-    out = merge.feed(stream(), NOTES)
-    merge.run_to_end(out.writeStream.format("parquet").option("path", str(tmp_path / "f")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start())
-    got = sorted((r["seq"], r["kind"], sorted(r["changed"])) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "f")).collect())
+    seen = VersionedTable(spark, str(tmp_path / "seen"), merge.snapshot_schema(NOTES))
+    merge.run_to_end(merge.into_feed(stream(), seen, NOTES, str(tmp_path / "f"), str(tmp_path / "c2")))
+    got = sorted((r["seq"], r["kind"], sorted(r["changed"])) for r in merge.read_feed(spark, str(tmp_path / "f"), NOTES).collect())
     assert got == events
 
 
+def test_second_checkpoint_is_kept_and_large_values_stay(spark, tmp_path):
+    n = 1 << 60
+    target = VersionedTable(spark, str(tmp_path / "snap"), merge.snapshot_schema(NOTES))
+    fed = VersionedTable(spark, str(tmp_path / "fed"), merge.snapshot_schema(NOTES))
+    parts = [[up(1, 1, b=n + 1), up(1, 1, b=n + 2), up(1, 1, b=n + 1), up(1, 3, b=None)], [up(1, 2, b=n), up(1, 1, b=n + 3), up(1, 1, b=n + 2), up(2, 3, a="x")]]
+    for i, ops in enumerate(parts):
+        folder = str(tmp_path / f"in{i}")
+        df = frame(spark, ops)
+        df.write.parquet(folder)
+        stream = lambda: spark.readStream.schema(df.schema).parquet(folder)  # noqa: E731, B023
+        merge.run_to_end(merge.into_snapshot(stream(), target, NOTES, str(tmp_path / f"c{i}")))
+        merge.run_to_end(merge.into_feed(stream(), fed, NOTES, str(tmp_path / "f"), str(tmp_path / f"d{i}")))
+        # A stream that has nothing new adds nothing.
+        merge.run_to_end(merge.into_feed(stream(), fed, NOTES, str(tmp_path / "f"), str(tmp_path / f"d{i}")))
+    assert {r["k"]: (r["a"], r["b"]) for r in fold.live(target.read(), NOTES).collect()} == {1: (None, n + 3), 2: (None, n), 3: ("x", None)}
+    assert sorted(map(tuple, fed.read().collect()), key=str) == sorted(map(tuple, target.read().collect()), key=str)
+    got = sorted((r["k"], r["seq"], r["changed"]) for r in merge.read_feed(spark, str(tmp_path / "f"), NOTES).collect())
+    assert got == [(1, 0, ["b"]), (1, 1, ["b"]), (1, 1, ["b"]), (2, 0, ["b"]), (3, 3, ["a"]), (3, 3, ["b"])]
+
+
 def test_segments_wait_for_their_anchor(spark):
     known = spark.createDataFrame([("l", 3, "x")], "log string, size bigint, hash string")
     new = spark.createDataFrame([("l", 0, "-"), ("l", 3, "x"), ("l", 3, "y"), ("m", 3, "x")], "log string, idx_start bigint, prev_hash string")
