@@ -22,6 +22,11 @@ def first_copies(messages: DataFrame, identifier: list[str], order: list[Column]
     return kept.select(*[F.col("_kept")[c].alias(c) for c in keep])
 
 
+def copy_order(generation: Column, received_at: Column, delivery_id: Column) -> list[Column]:
+    """What makes the least copy of a pack: the highest generation, then the earliest received, then the lowest id; nulls last."""
+    return [-F.coalesce(generation, F.lit(-1)), received_at.isNull(), received_at, F.coalesce(delivery_id, F.lit(2**63 - 1))]
+
+
 def kept_packs(packs: DataFrame, carry: list[str]) -> DataFrame:
     """The delivery of each pack to keep, with the columns of ``carry``.
 
@@ -32,9 +37,7 @@ def kept_packs(packs: DataFrame, carry: list[str]) -> DataFrame:
     """
     full = packfiles.identified(packs).withColumn("_unknown", F.when(F.col("pack_id").isNull() | F.col("seq_end").isNull(), F.col("delivery_id")))
     columns = list(dict.fromkeys(["delivery_id", "peer", *packfiles.FILE, *carry]))
-    far = F.lit("9999-12-31 00:00:00").cast(packs.schema["received_at"].dataType)
-    order = [-F.coalesce("generation", F.lit(-1)), F.coalesce("received_at", far), F.coalesce("delivery_id", F.lit(2**63 - 1))]
-    best = first_copies(full, ["pack_id", "seq_end", "_unknown"], order, columns)
+    best = first_copies(full, ["pack_id", "seq_end", "_unknown"], copy_order(F.col("generation"), F.col("received_at"), F.col("delivery_id")), columns)
     best = matching(best, packfiles.self_superseded(packs), ["pack_id", "seq_end"], "left_anti")
     return matching(best, packfiles.peer_superseded(packs), ["peer", *packfiles.FILE], "left_anti").select(*columns)
 

@@ -106,16 +106,35 @@ def p4_incremental(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(changefeed.live(target.read(), changefeed.ROW_OPS))
 
 
+def _compacted(spark: SparkSession, packs: str, batch_files: int = compactor.BATCH_FILES) -> VersionedTable:
+    taken = compactor.ingest(spark, packs, batch_files=batch_files)
+    target = VersionedTable(spark, work_folder(spark, "compacted"), compactor.OUTPUT)
+    compactor.compact(spark, taken, target)
+    return target
+
+
+def _segments_shown(target: VersionedTable) -> DataFrame:
+    s = compactor.output_segments(target.read())
+    return s.select("peer", F.hex("container_id").alias("container"), "idx_start", "idx_end", F.hex("end_chain_hash").alias("end_chain_hash"), "pack_id", "seq_end", "body_start", "body_end")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return compactor.small_packs(compactor.ingest(spark, f"{folder}/packs.parquet").read(spark))
+    return compactor.output_packs(_compacted(spark, f"{folder}/packs.parquet").read(), compactor.SMALL_BYTES)
 
 
 def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
-    taken = compactor.ingest(spark, f"{folder}/packs.parquet")
-    segments = compactor.current_segments(taken.read(spark))
-    target = VersionedTable(spark, work_folder(spark, "segments"), segments.schema)
-    compactor.compact(spark, taken, target)
-    return target.read().select("peer", F.hex("container_id").alias("container"), "idx_start", "idx_end", F.hex("end_chain_hash").alias("end_chain_hash"), "pack_id", "seq_end", "body_start", "body_end")
+    return _segments_shown(_compacted(spark, f"{folder}/packs.parquet"))
+
+
+def p5_small_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from packs in a hundred small files, that come in two lots and are compacted after each, in several batches."""
+    root, packs = work_folder(spark, "small-files"), table(spark, folder, "packs")
+    target = VersionedTable(spark, f"{root}/out", compactor.OUTPUT)
+    for half in (0, 1):
+        packs.where(F.pmod(F.xxhash64("delivery_id"), F.lit(2)) == half).repartition(50).write.mode("append").parquet(f"{root}/in/packs")
+        taken = compactor.ingest(spark, f"{root}/in/packs", f"{root}/work", batch_files=20)
+        compactor.compact(spark, taken, target)
+    return _segments_shown(target)
 
 
 # Shared pieces of the SQL equivalents.
@@ -162,6 +181,12 @@ live AS (SELECT k0, k1, u, d, CASE WHEN mb.t >= d THEN mb END AS mb, CASE WHEN m
 
 _P4_ROWS = f"WITH {_FOLD} SELECT k0, k1, u AS upsert_ts, nullif(d, 0) AS delete_ts, mb.v AS body, mn.v AS n, hex(mw.v) AS who FROM live"
 
+_P5_SEGMENTS = f"""WITH {_KEPT}, cur AS (SELECT * FROM kept WHERE deleted_at IS NULL),
+pd AS (SELECT pack_id, seq_end, unnest(peer_data) AS p FROM cur),
+seg AS (SELECT pack_id, seq_end, peer, unnest(self_segments) AS s FROM cur UNION ALL SELECT pack_id, seq_end, p.peer, unnest(p.segments) FROM pd),
+one AS (SELECT *, row_number() OVER (PARTITION BY peer, s.container_id, s.idx_start, s.idx_end, s.end_chain_hash ORDER BY pack_id, seq_end, s.body_start) AS r FROM seg WHERE s IS NOT NULL)
+SELECT peer, hex(s.container_id) AS container, s.idx_start AS idx_start, s.idx_end AS idx_end, hex(s.end_chain_hash) AS end_chain_hash, pack_id, seq_end, s.body_start AS body_start, s.body_end AS body_end FROM one WHERE r = 1"""
+
 QUERIES = {
     "p1_found": (p1_found, f"WITH {_WAITING} SELECT record_type, record_id FROM waiting"),
     "p1_backlog": (p1_backlog, f"WITH {_WAITING} SELECT record_type, replica, count(*) AS n_waiting, max(version) AS newest_version FROM waiting GROUP BY ALL"),
@@ -173,9 +198,6 @@ QUERIES = {
     "p4_rows": (p4_rows, _P4_ROWS),
     "p4_incremental": (p4_incremental, _P4_ROWS),
     "p5_found": (p5_found, f"WITH {_KEPT} SELECT pack_id, seq_end FROM kept WHERE deleted_at IS NULL AND coalesce(body_len, greatest(list_max([s.body_end FOR s IN self_segments]), list_max(flatten([[s.body_end FOR s IN p.segments] FOR p IN peer_data])))) < 16384"),
-    "p5_segments": (p5_segments, f"""WITH {_KEPT}, cur AS (SELECT * FROM kept WHERE deleted_at IS NULL),
-pd AS (SELECT pack_id, seq_end, unnest(peer_data) AS p FROM cur),
-seg AS (SELECT pack_id, seq_end, peer, unnest(self_segments) AS s FROM cur UNION ALL SELECT pack_id, seq_end, p.peer, unnest(p.segments) FROM pd),
-one AS (SELECT *, row_number() OVER (PARTITION BY peer, s.container_id, s.idx_start, s.idx_end, s.end_chain_hash ORDER BY pack_id, seq_end, s.body_start) AS r FROM seg WHERE s IS NOT NULL)
-SELECT peer, hex(s.container_id) AS container, s.idx_start AS idx_start, s.idx_end AS idx_end, hex(s.end_chain_hash) AS end_chain_hash, pack_id, seq_end, s.body_start AS body_start, s.body_end AS body_end FROM one WHERE r = 1"""),
+    "p5_segments": (p5_segments, _P5_SEGMENTS),
+    "p5_small_files": (p5_small_files, _P5_SEGMENTS),
 }

@@ -31,11 +31,18 @@ def row_bytes(schema: T.StructType) -> Column:
             return F.coalesce(F.octet_length(c), F.lit(0)) + 16
         if isinstance(t, T.StructType):
             return sum((of(c[f.name], f.dataType) for f in t), F.lit(1))
+        if isinstance(t, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * _flat_bytes(t.elementType)
         return F.lit(8)
 
     return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in schema), F.lit(8)).cast("bigint")
 
 
+def _flat_bytes(t: T.DataType) -> int:
+    """About what an element of an array takes, without looking into it."""
+    return sum(_flat_bytes(f.dataType) for f in t) if isinstance(t, T.StructType) else 48 if isinstance(t, (T.StringType, T.BinaryType)) else 8
+
+
 def bucket_of(key: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias(BUCKET)
 

@@ -88,6 +88,10 @@ class VersionedTable:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{part}"))]
         return sorted(f"{part}/{n}" for n in names if "=" in n)
 
+    def discard(self, part: str) -> None:
+        """Remove a staged folder that no version refers to."""
+        self._fs.delete(self._path(f"{self.root}/{part}"), True)
+
     def size(self, part: str) -> int:
         """Bytes of a part's files."""
         return self._fs.getContentSummary(self._path(f"{self.root}/{part}")).getLength()

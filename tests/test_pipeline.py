@@ -238,9 +238,37 @@ def test_compactor_discovers_once_and_retries_replace(spark, tmp_path, small):
     # The copies add no pack and no segment.
     assert compactor.small_packs(taken.read(spark)).count() == compactor.small_packs(packs).count()
     want = compactor.current_segments(packs)
-    target = VersionedTable(spark, str(tmp_path / "segments"), want.schema)
-    version = compactor.compact(spark, taken, target, file_bytes=200_000)
-    got = target.read()
-    assert got.count() == want.count() == got.select("peer", "container_id", "idx_start", "idx_end", "end_chain_hash").distinct().count()
-    assert version.facts["files"] > 1
+    target = VersionedTable(spark, str(tmp_path / "segments"), compactor.OUTPUT)
+    version = compactor.compact(spark, taken, target)
+    assert compactor.compact(spark, taken, target) == version
+    got = compactor.output_segments(target.read())
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got.count() == got.select("peer", "container_id", "idx_start", "idx_end", "end_chain_hash").distinct().count()
+    assert sorted(compactor.output_packs(target.read(), compactor.SMALL_BYTES).collect()) == sorted(compactor.small_packs(packs).collect())
     assert packfiles.segments(packfiles.identified(packs)).count() > got.count()
+    # Later batches against the state: what they supersede or delete goes, of the state only their buckets are rewritten.
+    one = packs.where("pack_id IS NOT NULL AND seq_end IS NOT NULL AND generation IS NOT NULL").limit(1).withColumns({"generation": F.lit(99).cast("bigint"), "deleted_at": F.lit("2030-01-01").cast("timestamp_ntz"), "delivery_id": F.lit(-1).cast("bigint")})
+    one.coalesce(1).write.mode("append").parquet(folder)
+    taken = compactor.ingest(spark, folder, root)
+    compactor.compact(spark, taken, target)
+    both = packs.unionByName(spark.createDataFrame(one.collect(), packs.schema))
+    assert taken.state(spark).current().facts["rewritten"] < taken.state(spark).current().facts["buckets"]
+    assert sorted(map(tuple, compactor.output_segments(target.read()).select(want.columns).collect()), key=str) == sorted(map(tuple, compactor.current_segments(both).collect()), key=str)
+    assert sorted(compactor.output_packs(target.read()).collect()) == sorted(compactor.current_packs(both).select("pack_id", "seq_end").collect())
+
+
+def test_files_have_the_wanted_size(spark, tmp_path):
+    import glob
+    import os
+
+    from loomfold.streaming import compactor
+
+    rows = spark.range(60_000).selectExpr("'segment' AS kind", "id AS pack_id", "id AS seq_end", "cast(NULL AS bigint) AS body_size", "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 50 END AS peer", "unhex(substring(sha2(cast(id AS string), 256), 1, 32)) AS container_id", "id AS idx_start", "id + 1 AS idx_end", "unhex(sha2(cast(id AS string), 256)) AS prev_chain_hash", "unhex(sha2(cast(id + 1 AS string), 256)) AS end_chain_hash", "0L AS body_start", "9L AS body_end")
+    target = VersionedTable(spark, str(tmp_path / "t"), compactor.OUTPUT)
+    wanted = 500_000
+    v = compactor.sized(target, rows, ["peer", "container_id"], wanted, {}, target.current())
+    files = [os.path.getsize(f) for f in glob.glob(f"{tmp_path}/t/{v.parts[0]}/*.parquet")]
+    assert len(files) == v.facts["files"] > 5 and all(wanted / 2 <= n <= 2 * wanted for n in files)
+    assert target.read().count() == 60_000 and len(glob.glob(f"{tmp_path}/t/data/*")) == 1
+    small = compactor.sized(target, rows.limit(0), ["peer"], wanted, {}, target.current())
+    assert small.facts["files"] == 1 and target.read().count() == 0
