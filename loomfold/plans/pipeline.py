@@ -26,7 +26,7 @@ def _log_key(peer_id, container):
 
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """All references and the orphans among them: (ref_table, row_id, ref_pos, at)."""
+    """All references and the orphans among them, repeated where their rows are: (ref_table, row_id, ref_pos, at)."""
     packs = packfiles.identified(table(spark, folder, "packs"))
     refs = packfiles.parent_references(packs).select("row_id", "ref_pos", "pack_id", "seq_end", F.col("received_at").alias("at"))
     lost = orphan_keys(refs, packs.where("deleted_at IS NULL").select("pack_id", "seq_end"), ["pack_id"], "seq_end")
@@ -35,26 +35,24 @@ def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     deps = table(spark, folder, "log_deps").select(F.col("dep_id").alias("row_id"), F.lit(0).cast("bigint").alias("ref_pos"), F.regexp_replace(F.lower("log_id"), "[^0-9a-f]", "").alias("log"), F.col("log_size").alias("size"), "hash_prefix", F.col("noted_at").alias("at"))
     peers = table(spark, folder, "peers").select(F.col("id").alias("peer"), "peer_id")
     living = table(spark, folder, "branches").where("deleted_at IS NULL").join(peers, "peer").select(F.col("id").alias("branch_id"), _log_key(F.col("peer_id"), F.col("container")).alias("log"))
-    heads = table(spark, folder, "segments").join(living, "branch_id").select("log", F.col("end_size").alias("size"), "end_hash")
-    # Without a prefix any living branch of the log will do.
-    bare = deps.where("hash_prefix IS NULL")
-    bare_lost = matching(bare, living.select("log").distinct(), ["log"], "left_anti")
-    # By position first; where a head is there, its hash has to begin with the prefix.
-    exact = deps.where("hash_prefix IS NOT NULL")
-    places = orphan_keys(exact, heads, ["log"], "size")
-    asked = exact.select("log", "size", "hash_prefix").distinct()
-    reached = matching(asked, places, ["log", "size"], "left_anti")
-    h = heads.distinct().select(F.col("log").alias("_log"), F.col("size").alias("_size"), "end_hash")
+    heads = table(spark, folder, "segments").join(living, "branch_id").select("log", F.col("end_size").alias("size"), "end_hash").distinct()
+    # Without a prefix any living branch of the log will do: such a reference is to the log's place 0, which every one has.
+    bare, exact = F.col("hash_prefix").isNull().alias("bare"), F.col("hash_prefix").isNotNull()
+    placed = deps.select("log", F.when(bare, 0).otherwise(F.col("size")).alias("size"), "hash_prefix", bare, "row_id", "ref_pos", "at")
+    places = heads.select("log", "size", F.lit(False).alias("bare")).unionByName(living.select("log", F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("bare")))
+    asked = placed.select("log", "bare", "size", "hash_prefix").distinct()
+    nowhere = orphan_keys(asked, places, ["log", "bare"], "size")
+    # Where a head is there, its hash has to begin with the prefix.
+    reached = matching(asked.where(exact), nowhere, ["log", "bare", "size"], "left_anti")
+    h = heads.select(F.col("log").alias("_log"), F.col("size").alias("_size"), "end_hash")
     wrong = reached.join(h, (F.col("log") == F.col("_log")) & (F.col("size") == F.col("_size")) & F.startswith("end_hash", "hash_prefix"), "left_anti")
-    nowhere = matching(asked, places, ["log", "size"])
-    exact_lost = matching(exact, nowhere.unionByName(wrong), ["log", "size", "hash_prefix"])
+    lost = matching(asked, nowhere, ["log", "bare", "size"]).unionByName(wrong)
+    dep_orphans = matching(placed, lost, ["log", "bare", "size", "hash_prefix"])
 
     columns = ["ref_table", "row_id", "ref_pos", "at"]
     everything = refs.withColumn("ref_table", F.lit("packs")).select(columns).unionByName(deps.withColumn("ref_table", F.lit("log_deps")).select(columns))
-    orphans = pack_orphans.withColumn("ref_table", F.lit("packs")).select(columns)
-    for part in (bare_lost, exact_lost):
-        orphans = orphans.unionByName(part.withColumn("ref_table", F.lit("log_deps")).select(columns))
-    return everything.distinct(), orphans.distinct()
+    orphans = pack_orphans.withColumn("ref_table", F.lit("packs")).select(columns).unionByName(dep_orphans.withColumn("ref_table", F.lit("log_deps")).select(columns))
+    return everything, orphans
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +61,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     everything, orphans = _references(spark, folder)
-    return references.report(orphans, everything, "at")
+    return references.report(orphans.distinct(), everything.distinct(), "at")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
