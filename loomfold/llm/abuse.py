@@ -8,10 +8,12 @@ A document's score is the greatest vote among its passages, made a probability b
 regression on the labelled documents, each scored without its own label.
 
 The search is exact. Examples lie in blocks; for each term the greatest weight in a block is
-kept, which bounds the cosine that any example of the block can reach. The blocks of greatest
-bound give a k-th best; only where another block's bound is above it are the terms' whole lists
-read. Blocks of objectionable examples come
-first: if none can reach RADIUS the passage scores 0 at once.
+kept, which bounds the cosine that any example of the block can reach. Blocks are read in order of
+their bound until it falls below the k-th best found so far; all others are skipped. Blocks of
+objectionable examples come first: if none can reach RADIUS the passage scores 0 at once.
+
+Texts are cut and looked up once: features of all documents are written to the shared folder
+while their document frequencies are counted, and scored from there.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfold.session import ship, spread
+from loomfold.session import ship, spread, work_folder
 
 #: Bounds of the labelled sample that the examples are taken from; everything else sees all rows.
 FLAGGED_SAMPLE, CLEAN_SAMPLE = 2_500, 4_000
-#: A passage of at most so many words, all with capitals, is a name or a heading.
+#: A passage of at most so many words, all with capitals and none of them known in small letters, is a name.
 NAME_WORDS = 5
+#: Labelled documents in which a word must begin with a small letter to be known in small letters.
+SMALL_DOCS = 2
 #: Labelled documents in which a word, and a feature, must occur to be told apart from unknown ones.
 WORD_DOCS, FEATURE_DOCS = 2, 2
 #: Neighbours that vote, and the power of the cosine by which they do.
@@ -43,9 +48,11 @@ NEIGHBOURS, POWER = 16, 3
 RADIUS = 0.4
 #: Belief from which a passage of a flagged document counts as what the flag was for.
 BELIEVED = 0.38
+#: Belief from which it does so by other documents' labels alone.
+APART = 0.38
 #: Examples in a block of the index.
 BLOCK = 32
-#: Blocks that are searched before the others are held against the k-th best.
+#: Blocks that are read before the next ones are held against the k-th best; so many more each time.
 FIRST = 8
 #: Inverse document frequencies are cut here, as otherwise names outweigh all else; unknown words count as OTHER.
 RAREST, OTHER = 5.5, 3.0
@@ -62,8 +69,10 @@ _LOOKALIKE = str.maketrans({"1": "i", "l": "i", "|": "i", "!": "i", "0": "o", "3
 _SPELT = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_]){2,}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[\w*@$|]+(?:!+[\w@$|]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TITLE = "".join(rf"(?<!\b{t}\.)" for t in ("Hon", "Mr", "Ms", "Mx", "Dr", "St", "Mrs", "No", r"[^\W\d_]"))
-_BORDER = re.compile(rf"(?<=[.!?;…]){_TITLE}[\"”»’')\]]*\s+|\n+|(?<=[\])])\s*|(?=[\[(])|\s+[–—]\s+|(?<=[^\W\d]):\s+|[“”„«»\"]")
+#: Titles that a full stop may follow within a sentence, as may an initial.
+_TITLES = frozenset({"Hon", "Mr", "Ms", "Mx", "Dr", "St", "Mrs", "No"})
+_ALONE = re.compile("[“”„«»\"]")
+_END = re.compile(r"[.!?;…:–—][’')\]]*\s+")
 
 
 def plain(text: str) -> str:
@@ -75,12 +84,42 @@ def plain(text: str) -> str:
 
 
 def passages(text: str) -> Iterator[str]:
-    for p in _BORDER.split(plain(text)):
-        p = p.strip()
-        if len(p) > 2:
+    """Sentences, interruptions and quotations; brackets, quotation marks, dashes and a speaker's colon part them, too."""
+    text = _ALONE.sub("\n", plain(text)).replace("[", "\n[").replace("(", "\n(").replace("]", "]\n").replace(")", ")\n")
+    for line in text.split("\n"):
+        at = 0
+        for m in _END.finditer(line):
+            i = m.start()
+            c = line[i]
+            if c == ":":
+                if i == at or not (line[i - 1].isalpha() or line[i - 1] == "_"):
+                    continue
+            elif c in "–—":
+                if i == 0 or not line[i - 1].isspace() or not line[i + 1].isspace():
+                    continue
+            else:
+                if c == "." and _is_title(line, i):
+                    continue
+                i += 1
+            p = line[at:i].strip()
+            if p:
+                yield p
+            at = m.end()
+        p = line[at:].strip()
+        if p:
             yield p
 
 
+def _is_title(line: str, end: int) -> bool:
+    """Whether a title or a single letter ends here."""
+    at = end
+    while at and end - at < 4 and line[at - 1].isalpha():
+        at -= 1
+    if at == end or at and (line[at - 1].isalnum() or line[at - 1] == "_"):
+        return False
+    return end - at == 1 or line[at:end] in _TITLES
+
+
 _spellings: dict[str, str] = {}
 
 
@@ -94,13 +133,29 @@ def _spelling(w: str) -> str:
     return out
 
 
-def words(passage: str) -> tuple[str, ...]:
-    """Words in a spelling that disguises and scan errors share. A bare name has none."""
-    letters = _LETTERS.findall(passage)
-    if len(letters) <= NAME_WORDS and "!" not in passage and all(w[0].isupper() or len(w) < 3 for w in letters):
+def _is_name(passage: str, small) -> bool:
+    """Whether all words of a short passage begin with capitals and none is known in small letters."""
+    if "!" in passage:
+        return False
+    n = 0
+    for m in _LETTERS.finditer(passage):
+        w = m.group()
+        n += 1
+        if n > NAME_WORDS or not (w[0].isupper() or len(w) < 3) or len(w) > 2 and _spelling(w.lower()) in small:
+            return False
+    return True
+
+
+def words(passage: str, small=frozenset()) -> tuple[str, ...]:
+    """Words in a spelling that disguises and scan errors share. A bare name has none; ``small`` are the words known in small letters."""
+    if _is_name(passage, small):
         return ()
-    low = _SPELT.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), passage.lower())
-    return tuple(map(_spelling, _WORD.findall(low)))
+    low = passage.lower()
+    found = _WORD.findall(low)
+    # Letters that are spelt out stand alone, but for the first and last, which may touch a sign.
+    if "_" in low or sum(len(w) == 1 for w in found) > 1 or any(c in low for c in "*@$|"):
+        found = _WORD.findall(_SPELT.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), low))
+    return tuple(map(_spelling, found))
 
 
 def features(ws: Iterable[str], known) -> list[str]:
@@ -118,6 +173,7 @@ def features(ws: Iterable[str], known) -> list[str]:
 class Vocabulary:
     known: set[str]
     ids: dict[str, int]
+    small: frozenset[str] = frozenset()
 
     def vector(self, ws: tuple[str, ...]) -> tuple[tuple[int, ...], int]:
         """Ids of the features, each once, and the number of features without an id."""
@@ -125,25 +181,34 @@ class Vocabulary:
         ids = [i for w in f if (i := self.ids.get(w)) is not None]
         return tuple(sorted(ids)), len(f) - len(ids)
 
+    def of(self, passage: str) -> tuple[tuple[int, ...], int]:
+        ws = words(passage, self.small)
+        return self.vector(ws) if ws else ((), 0)
+
 
 def vocabulary(texts: Iterable[str]) -> tuple[Vocabulary, list[set[tuple[str, ...]]]]:
     """The vocabulary of the labelled sample, and each text's distinct passages as words."""
-    docs = [{w for p in passages(t) if (w := words(p))} for t in texts]
+    cut = [set(passages(t)) for t in texts]
     seen: Counter = Counter()
+    for d in cut:
+        seen.update({_spelling(w) for p in d for w in _LETTERS.findall(p) if len(w) > 2 and w[0].islower()})
+    small = frozenset(w for w, n in seen.items() if n >= SMALL_DOCS)
+    docs = [{w for p in d if (w := words(p, small))} for d in cut]
+    seen = Counter()
     for d in docs:
         seen.update({w for p in d for w in p})
     known = {w for w, n in seen.items() if n >= WORD_DOCS}
     seen = Counter()
     for d in docs:
         seen.update({f for p in d for f in features(p, known)})
-    return Vocabulary(known, {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= FEATURE_DOCS))}), docs
+    return Vocabulary(known, {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= FEATURE_DOCS))}, small), docs
 
 
 class Index:
     """Exact cosine search over examples, given as sorted tuples of feature ids."""
 
-    def __init__(self, examples: list[tuple[int, ...]], idf: np.ndarray):
-        self.idf, self.n = idf, len(examples)
+    def __init__(self, examples: list[tuple[int, ...]], idf: np.ndarray, hot: int = 0):
+        self.idf, self.n, self.hot = idf, len(examples), hot
         self.blocks = -(-self.n // BLOCK)
         sizes = np.array([len(e) for e in examples])
         self.term = np.fromiter((i for e in examples for i in e), np.int32, int(sizes.sum()))
@@ -152,49 +217,79 @@ class Index:
         norm = np.sqrt(np.bincount(owner, w * w, minlength=self.n))
         self.weight = (w / norm[owner]).astype(np.float32)
         self.owner = owner.astype(np.int32)
-        self.start = np.searchsorted(owner, np.arange(self.blocks + 1) * BLOCK)
-        self.most = np.zeros((len(idf), self.blocks), np.float32)
-        np.maximum.at(self.most, (self.term, owner // BLOCK), self.weight)
-        self.query = np.zeros(len(idf), np.float32)
-        self.all = np.arange(self.term.size)
-        # The same postings by term.
-        by_term = np.argsort(self.term, kind="stable")
-        self.list_owner, self.list_weight = self.owner[by_term], self.weight[by_term]
-        self.list_start = np.searchsorted(self.term[by_term], np.arange(len(idf) + 1))
+        # Postings by term and example; a pair is a term's postings within a block, with the greatest weight among them.
+        order = np.argsort(self.term, kind="stable")
+        self.list_owner, self.list_weight = self.owner[order], self.weight[order]
+        pair = self.term[order].astype(np.int64) * self.blocks + self.list_owner // BLOCK
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.pair_start = np.append(first, len(pair)).astype(np.int64)
+        self.most = np.maximum.reduceat(self.list_weight, first) if len(first) else np.empty(0, np.float32)
+        self.in_block = (pair[first] % self.blocks).astype(np.int32) if self.blocks else np.empty(0, np.int32)
+        self.list_start = np.searchsorted(pair[first] // max(1, self.blocks), np.arange(len(idf) + 1))
+        # Where, in each term's pairs, the blocks after the first ``hot`` begin.
+        self.hot_end = self.list_start[:-1] + np.bincount((pair[first] // max(1, self.blocks))[self.in_block < hot], minlength=len(idf))
+        self.rank = np.full(self.blocks, -1, np.int32)
+        self.read = 0  # blocks read so far
 
     def unit(self, ids: tuple[int, ...], others: int) -> np.ndarray:
         v = self.idf[list(ids)]
         return (v / math.sqrt(float(v @ v) + others * OTHER * OTHER)).astype(np.float32)
 
+    def _pairs(self, at: list[int], v: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of some terms up to given ends, and the terms' weights in the query beside them."""
+        starts = self.list_start[at]
+        n = ends - starts
+        return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum())), np.repeat(v, n)
+
+    def _postings(self, pairs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples in some pairs, and what they add to their cosine."""
+        begin = self.pair_start[pairs]
+        n = self.pair_start[pairs + 1] - begin
+        postings = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return self.list_owner[postings], self.list_weight[postings] * np.repeat(own, n)
+
+    def among_hot(self, ids: tuple[int, ...], v: np.ndarray, least: float) -> bool:
+        """Whether an example of the first ``hot`` blocks has at least a cosine: by their bounds, then exactly."""
+        at = list(ids)
+        pairs, own = self._pairs(at, v, self.hot_end[at])
+        if not pairs.size or np.bincount(self.in_block[pairs], self.most[pairs] * own).max() < 0.9999 * least:
+            return False
+        return np.bincount(*self._postings(pairs, own)).max() >= 0.9999 * least
+
     def nearest(self, ids: tuple[int, ...], others: int, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and numbers of the k nearest examples, best first; fewer if fewer share a feature."""
         at = list(ids)
-        v = self.unit(ids, others)
-        bound = v @ self.most[at]
-        # A few blocks give a k-th best; then all blocks whose bound is above it, at once.
-        order = np.argsort(-bound, kind="stable")
-        self.query[at] = v
-        first = np.concatenate([self.all[self.start[b] : self.start[b + 1]] for b in order[:FIRST]])
-        s = np.bincount(self.owner[first], self.query[self.term[first]] * self.weight[first])
-        self.query[at] = 0
-        sims, who = _best(s, k, skip, 0.0)
-        least = float(sims[-1]) if sims.size == k else 0.0
-        if order.size > FIRST and bound[order[FIRST]] > least:
-            lists = [slice(self.list_start[i], self.list_start[i + 1]) for i in at]
-            s = np.bincount(np.concatenate([self.list_owner[x] for x in lists]), np.concatenate([self.list_weight[x] * w for x, w in zip(lists, v)]))
-            sims, who = _best(s, k, skip, least * 0.9999)
+        pairs, own = self._pairs(at, self.unit(ids, others), self.list_start[[i + 1 for i in at]])
+        in_block = self.in_block[pairs]
+        bound = np.bincount(in_block, self.most[pairs] * own, minlength=self.blocks)
+        blocks = np.flatnonzero(bound > 0)
+        blocks = blocks[np.argsort(-bound[blocks], kind="stable")]
+        sims, who = np.empty(0), np.empty(0, np.int64)
+        at, step = 0, FIRST
+        while at < len(blocks):
+            # Rounding may put a bound a little below what it bounds.
+            least = float(sims[-1]) * 0.9999 if sims.size == k else 0.0
+            some = blocks[at : at + step]
+            some = some[bound[some] > least]
+            if not some.size:
+                break
+            self.rank[some] = np.arange(some.size)
+            here = np.flatnonzero(self.rank[in_block] >= 0)
+            example, part = self._postings(pairs[here], own[here])
+            s = np.bincount(self.rank[example // BLOCK] * BLOCK + example % BLOCK, part)
+            self.rank[some] = -1
+            hit = np.flatnonzero(s > least)
+            s, hit = s[hit], some[hit // BLOCK] * BLOCK + hit % BLOCK
+            if skip >= 0:
+                s, hit = s[hit != skip], hit[hit != skip]
+            sims, who = np.concatenate([sims, s]), np.concatenate([who, hit])
+            best = np.lexsort((who, -sims))[:k]
+            sims, who = sims[best], who[best]
+            self.read += some.size
+            at, step = at + step, 4 * step
         return sims, who
 
 
-def _best(s: np.ndarray, k: int, skip: int, above: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k greatest of the values above a bound and their places; the first places at ties."""
-    hit = np.flatnonzero(s > above)
-    if skip >= 0:
-        hit = hit[hit != skip]
-    hit = hit[np.argsort(-s[hit], kind="stable")[:k]]
-    return s[hit], hit
-
-
 def _vote(sims, who, value, weight, prior: float, strength: float) -> float:
     w = sims**POWER * weight[who]
     return float((w @ value[who] + strength * prior) / (w.sum() + strength))
@@ -224,15 +319,19 @@ class Model:
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
     source: list[int] = field(default_factory=list)
     hot: int = 0  # blocks that hold objectionable examples
-    hottest: np.ndarray = field(default_factory=lambda: np.empty(0))  # their greatest weight for each feature
+    reach: list[float] = field(default_factory=list)  # for each feature its greatest weight in them, times its idf
+    square: list[float] = field(default_factory=list)  # and its idf squared
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     def passage(self, ids: tuple[int, ...], others: int) -> tuple[float, float, int]:
         """(vote, cosine of the nearest objectionable example, its document)."""
         if not ids or self.index is None or not self.hot:
             return 0.0, 0.0, -1
-        v, at = self.index.unit(ids, others), list(ids)
-        if v @ self.hottest[at] < RADIUS or (v @ self.index.most[at, : self.hot]).max() < RADIUS:
+        # Most passages can't come near: told by two sums, rounding aside.
+        near = sum(map(self.reach.__getitem__, ids))
+        if near < 0.9999 * RADIUS * math.sqrt(sum(map(self.square.__getitem__, ids)) + others * OTHER * OTHER):
+            return 0.0, 0.0, -1
+        if not self.index.among_hot(ids, self.index.unit(ids, others), RADIUS):
             return 0.0, 0.0, -1
         sims, who = self.index.nearest(ids, others, NEIGHBOURS)
         bad = np.flatnonzero(self.value[who] >= 0.5)
@@ -284,13 +383,15 @@ def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool]
     weight = np.minimum(n, 30)
     vote = lambda value, prior, strength: np.array([_vote(np.concatenate([[1.0], s]), np.concatenate([[i], w]), value, weight, prior, strength) for i, (s, w) in enumerate(near)])
     belief = vote(pos / n, base, 2.0)
+    # What its likes say of an example without its own label; those of many flagged documents are bad, whatever else stands beside them.
+    apart = np.array([_vote(s, w, pos / n, weight, base, 2.0) for s, w in near])
     for _ in range(3):
         blamed = np.zeros(len(examples))
         for l, y, m in zip(inside, flagged, margin):
             if l:
                 b = belief[l]
                 # A flag was for the passages most believed to be bad; a clean document may hold what a rater missed.
-                blamed[[i for i, x in zip(l, b) if x >= (max(BELIEVED, 0.8 * b.max()) if y else 0.7)]] += m
+                blamed[[i for i, x in zip(l, b) if x >= (max(BELIEVED, 0.8 * b.max()) if y else 0.7) or y and apart[i] >= APART]] += m
         value = blamed / n
         belief = vote(value, 0.05, 1.0)
     # Scores of the labelled documents without their own label, for the probabilities.
@@ -301,8 +402,11 @@ def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool]
     # Every example stays, so that passages are weighed as the labelled documents were; objectionable ones come first.
     keep = np.concatenate([np.flatnonzero(value >= 0.5), np.flatnonzero(value < 0.5)])
     model.hot = -(-int((value[keep] >= 0.5).sum()) // BLOCK)
-    model.index = Index([examples[i] for i in keep], idf)
-    model.hottest = model.index.most[:, : model.hot].max(axis=1) if model.hot else np.zeros(len(idf), np.float32)
+    model.index = Index([examples[i] for i in keep], idf, model.hot)
+    hottest, of = np.zeros(len(idf)), np.repeat(np.arange(len(idf)), np.diff(model.index.list_start))
+    near_hot = model.index.in_block < model.hot
+    np.maximum.at(hottest, of[near_hot], model.index.most[near_hot])
+    model.reach, model.square = (hottest * idf).tolist(), (idf * idf).tolist()
     model.value, model.weight, model.source = value[keep], weight[keep], [int(from_doc[i]) for i in keep]
     return model
 
@@ -338,8 +442,7 @@ def score(model: Model, text: str | None, memo: dict) -> tuple[float, str | None
     for p in passages(text) if text else ():
         got = memo.get(p)
         if got is None:
-            ws = words(p)
-            key = model.vocabulary.vector(ws) if ws else ((), 0)
+            key = model.vocabulary.of(p)
             got = memo.get(key)
             if got is None:
                 got = memo[key] = model.passage(*key)
@@ -371,42 +474,112 @@ def labelled(documents: DataFrame, review_labels: DataFrame, flagged_most: int =
     return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
 
 
-def document_frequencies(documents: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
-    """In how many of all documents each feature of the vocabulary occurs, and the number of documents."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocab)
+def _record(key: tuple[tuple[int, ...], int]) -> bytes:
+    """A passage's features as 32-bit numbers: how many, how many others, and their ids."""
+    return array("i", [len(key[0]), key[1], *key[0]]).tobytes()
+
+
+def _cut(documents: DataFrame, vocab: Vocabulary, carry: list[str], keep: bool) -> DataFrame:
+    """(carry..., features, counted, counts): a row for each document with the records of its distinct passages, and one for each task with its document frequencies.
+
+    ``counted`` -1 is the number of documents. Without ``keep`` there are only the latter rows.
+    """
+    shared, kinds = documents.sparkSession.sparkContext.broadcast(vocab), [documents.schema[c].dataType for c in carry]
+    out = T.StructType([T.StructField(c, k) for c, k in zip(carry, kinds)])
+    out = T.StructType([*out, T.StructField("features", T.BinaryType()), T.StructField("counted", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v, schema = shared.value, to_arrow_schema(out)
         total, memo = np.zeros(len(v.ids) + 1, np.int64), {}
         for b in batches:
+            cells = []
             for text in b.column(0).to_pylist():
                 total[-1] += 1
                 found: set[int] = set()
+                records: dict[bytes, None] = {}
                 for p in passages(text) if text else ():
-                    ids = memo.get(p)
-                    if ids is None:
+                    got = memo.get(p)
+                    if got is None:
                         if len(memo) >= MEMO:
                             memo.clear()
-                        ids = memo[p] = v.vector(words(p))[0]
-                    found.update(ids)
+                        key = v.of(p)
+                        got = memo[p] = (key[0], _record(key) if key[0] else b"")
+                    found.update(got[0])
+                    records[got[1]] = None
                 total[list(found)] += 1
+                cells.append(b"".join(records))
+            if keep:
+                none = [pa.nulls(b.num_rows, schema.field(c).type) for c in ("counted", "counts")]
+                yield pa.RecordBatch.from_arrays([*[b.column(i + 1).cast(schema.field(i).type) for i in range(len(carry))], pa.array(cells, pa.binary()), *none], schema=schema)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["feature", "n"])
+        if len(at):
+            ids = np.where(at == len(v.ids), -1, at)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, schema.field(c).type) for c in (*carry, "features")], pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array([total[at].tolist()], pa.list_(pa.int64()))], schema=schema)
 
-    rows = spread(documents.select("text")).mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    return spread(documents.select("text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])).mapInArrow(run, out)
+
+
+def _frequencies(cut: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
+    """In how many of all documents each feature of the vocabulary occurs, and the number of documents."""
+    pairs = cut.where("counted IS NOT NULL").select(F.explode(F.arrays_zip("counted", "counts")).alias("p"))
+    rows = pairs.groupBy("p.counted").agg(F.sum("p.counts").alias("n")).collect()
     out = np.zeros(len(vocab.ids) + 1)
     for r in rows:
-        out[r["feature"]] = r["n"]
+        out[r["counted"]] = r["n"]
     return out[:-1], int(out[-1])
 
 
+def _fitted(spark: SparkSession, rows: list, vocab: Vocabulary, docs: list, cut: DataFrame) -> Model:
+    freq, n = _frequencies(cut, vocab)
+    return fit(vocab, docs, [r["flagged"] for r in rows], [r["margin"] for r in rows], [r["doc_id"] for r in rows], freq, n, spread_nearest(spark))
+
+
 def trained(documents: DataFrame, review_labels: DataFrame, **bounds) -> Model:
     """The model for these documents and labels. Without usable labels it scores everything 0."""
     ship(documents.sparkSession)
     rows = labelled(documents, review_labels, **bounds)
     vocab, docs = vocabulary(r["text"] for r in rows)
-    freq, n = document_frequencies(documents, vocab)
-    return fit(vocab, docs, [r["flagged"] for r in rows], [r["margin"] for r in rows], [r["doc_id"] for r in rows], freq, n, spread_nearest(documents.sparkSession))
+    return _fitted(documents.sparkSession, rows, vocab, docs, _cut(documents, vocab, [], False))
+
+
+def probabilities(documents: DataFrame, review_labels: DataFrame, carry: list[str], **bounds) -> DataFrame:
+    """(carry..., probability) of every row, as ``trained`` and ``scored`` give it, but with all texts cut once.
+
+    Their features are written to the shared folder while they are counted, and scored from there.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    rows = labelled(documents, review_labels, **bounds)
+    vocab, docs = vocabulary(r["text"] for r in rows)
+    cut, path = _cut(documents, vocab, carry, True), work_folder(spark, "abuse-features")
+    cut.write.parquet(path)
+    cut = spark.read.schema(cut.schema).parquet(path)
+    shared = spark.sparkContext.broadcast(_fitted(spark, rows, vocab, docs, cut))
+    n = len(carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, memo = shared.value, {}
+        for b in batches:
+            found = []
+            for cell in b.column(n).to_pylist():
+                best, at, numbers = 0.0, 0, array("i", cell)
+                while at < len(numbers):
+                    end = at + 2 + numbers[at]
+                    key = cell[4 * at : 4 * end]
+                    vote = memo.get(key)
+                    if vote is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        vote = memo[key] = m.passage(tuple(numbers[at + 2 : end]), numbers[at + 1])[0]
+                    best, at = max(best, vote), end
+                found.append(m.probability(best))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], pa.array(found, pa.float64())], [*[f"c{i}" for i in range(n)], "probability"])
+
+    named = cut.where("features IS NOT NULL").select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], "features")
+    out = T.StructType([*[T.StructField(f"c{i}", cut.schema[c].dataType) for i, c in enumerate(carry)], T.StructField("probability", T.DoubleType())])
+    return named.mapInArrow(run, out).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -428,8 +601,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     return spread(documents.select("doc_id", "text")).mapInArrow(run, schema)
 
 
-def rates(documents: DataFrame, scores: DataFrame, found: float = FOUND) -> DataFrame:
-    """Per source, null being one: documents, those found and their share."""
-    both = documents.select("doc_id", "source").join(scores.select("doc_id", "probability"), "doc_id")
-    out = both.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(F.col("probability") >= found).alias("n_found"), F.avg("probability").alias("mean_probability"))
+def rates(scores: DataFrame, found: float = FOUND) -> DataFrame:
+    """Per source, null being one: rows of ``scores`` (source, probability), those found and their share."""
+    out = scores.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(F.col("probability") >= found).alias("n_found"), F.avg("probability").alias("mean_probability"))
     return out.withColumn("rate", F.col("n_found") / F.col("n_documents"))

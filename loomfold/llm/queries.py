@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomfold.llm import abuse, bytepair, mixing
-from loomfold.session import table, work_folder
+from loomfold.session import table
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,23 +28,22 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).report()
 
 
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return abuse.scored(documents, abuse.trained(documents, table(spark, folder, "review_labels")))
+def _probabilities(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    return abuse.probabilities(table(spark, folder, "documents"), table(spark, folder, "review_labels"), [column])
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _scores(spark, folder).where(f"probability >= {abuse.FOUND}").select("doc_id")
+    return _probabilities(spark, folder, "doc_id").where(f"probability >= {abuse.FOUND}").select("doc_id")
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _scores(spark, folder)
+    """With the passage that a score is for and the labelled document it is like; texts are cut again for that."""
+    documents = table(spark, folder, "documents")
+    return abuse.scored(documents, abuse.trained(documents, table(spark, folder, "review_labels")))
 
 
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
-    path = work_folder(spark, "abuse-scores")
-    _scores(spark, folder).write.parquet(path)
-    return abuse.rates(table(spark, folder, "documents"), spark.read.parquet(path))
+    return abuse.rates(_probabilities(spark, folder, "source"))
 
 
 QUERIES = {

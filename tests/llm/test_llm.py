@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomfold.llm import abuse, bytepair, mixing
 
@@ -144,6 +145,47 @@ def test_disguises_share_a_spelling():
     assert abuse.words("YOU ARE ALL A ROTTEN LOT.") == abuse.words("You are all a rotten lot.")
 
 
+def test_short_insults_in_capitals_are_no_names():
+    vocab, _ = abuse.vocabulary(["you stupid bitch, you filthy whore, the rotten pig and the dirty vermin scum"] * 2)
+    for t in ("You Stupid Bitch", "FILTHY WHORE", "Dirty Vermin Scum.", "YOU ROTTEN PIG"):
+        assert vocab.of(t)[0]
+    for t in ("Dr. Anna Smith", "Hon. A. B. Jones", "OTTERHAVEN FEN"):
+        assert vocab.of(t) == ((), 0)
+
+
+def test_passages():
+    cut = lambda t: list(abuse.passages(t))
+    assert cut("Mr. A. Bee spoke. He sat down!  Then: “Out!” [Ms. Cee: Shame.] the end") == ["Mr. A. Bee spoke.", "He sat down!", "Then", "Out!", "[Ms. Cee", "Shame.]", "the end"]
+    assert cut("One voice – aye. (Laughter.)\nAt 10:30 no. 5 of x1b. More") == ["One voice", "aye.", "(Laughter.)", "At 10:30 no.", "5 of x1b.", "More"]
+    assert cut("") == cut(" \n ") == [] and cut("Oh") == ["Oh"]
+
+
+def test_blocks_are_skipped():
+    rng = np.random.default_rng(5)
+    idf = rng.uniform(0.1, 5, 400)
+    examples = sorted({tuple(sorted(rng.choice(np.arange(c * 20, c * 20 + 20), 6, replace=False).tolist())) for c in range(20) for _ in range(200)})
+    index = abuse.Index(examples, idf)
+    for e in examples[::37]:
+        index.nearest(e, 0, 10)
+    assert index.read < 0.5 * index.blocks * len(examples[::37])
+
+
+def test_bad_passages_beside_worse_ones_are_learnt():
+    """A pattern that always stands beside a commoner one is still what its documents were flagged for."""
+    rng = random.Random(3)
+    names, rows = [f"name{i}" for i in range(40)], []
+    for i in range(600):
+        text = f"The {rng.choice(names)} levy is late. I thank {rng.choice(names)} for the report."
+        bad = i % 6 == 0
+        if bad:
+            text += " You filthy rotten swine! " + (f"Shut that ugly gob {rng.choice(['twit', 'oaf', 'lump'])} now." if i % 24 == 0 else "")
+        rows.append((i, text, bad))
+    vocab, docs = abuse.vocabulary(r[1] for r in rows)
+    model = abuse.fit(vocab, docs, [r[2] for r in rows], [1] * 600, [r[0] for r in rows], np.full(len(vocab.ids), 20.0), 600)
+    assert abuse.score(model, "Shut that ugly gob twit now.", {})[0] >= abuse.FOUND
+    assert abuse.score(model, f"The {names[0]} levy is late.", {})[0] < abuse.FOUND
+
+
 def corpus(rng, n):
     calm = ["The {} levy will be audited at once.", "I thank the clerk for the {} report.", "Every parish has sent its {} accounts.", "The {} amendment was withdrawn without a vote."]
     foul = ["You are a filthy {} and a rotten swine!", "Shut your mouth, you {} swine!", "Those people are {} vermin, drive them out!"]
@@ -177,8 +219,14 @@ def test_held_out_labels(spark):
     assert right / found >= 0.95 and right / sum(b for _, b in held) >= 0.95
     hit = next(got[i] for i, *_, bad in rows[450:] if bad and got[i]["probability"] >= abuse.FOUND)
     assert hit["cosine"] > abuse.RADIUS and hit["example_doc_id"] is not None
-    rates = {r["source"]: r for r in abuse.rates(docs, abuse.scored(docs, model)).collect()}
-    assert set(rates) == {"a", "b", None} and sum(r["n_documents"] for r in rates.values()) == 903
+    # Cut once or twice, the result is the same; rows that repeat or have no id count as they are.
+    more = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 7").withColumn("doc_id", F.lit(None).cast("bigint")))
+    at_once = abuse.probabilities(docs, marks, ["doc_id"]).collect()
+    assert len(at_once) == 903 and all(math.isclose(r["probability"], got[r["doc_id"]]["probability"], abs_tol=1e-9) for r in at_once)
+    rates = {r["source"]: r for r in abuse.rates(abuse.probabilities(more, marks, ["source"])).collect()}
+    assert set(rates) == {"a", "b", None} and sum(r["n_documents"] for r in rates.values()) == 903 + 47
+    scores = abuse.scored(more, abuse.trained(more, marks))
+    assert sum(r["n_found"] for r in rates.values()) == scores.where(f"probability >= {abuse.FOUND}").count()
 
 
 def test_every_example_votes():
