@@ -71,12 +71,20 @@ def backoff(retries: Column, least_ms: int, most_ms: int) -> Column:
     return F.least(F.lit(float(least_ms)) * F.pow(F.lit(2.0), F.least(retries, F.lit(31))), F.lit(float(most_ms))).cast("bigint")
 
 
-def retry_now(reason: Column, now_ms: Column, last_ms: Column, retries: Column, remote_ts: Column, startup: bool, least_ms: int = 1_000, most_ms: int = 300_000) -> Column:
-    """Whether a branch that lags its head should be tried again, by the reason it stalled for."""
+def retry_now(reason: Column, now_ms: Column, last_ms: Column, retries: Column, remote_ts: Column, startup: bool, least_ms: int = 1_000, most_ms: int = 300_000, key_came: Column | None = None, deps_done: Column | None = None) -> Column:
+    """Whether a branch that lags its head should be tried again, by the reason it stalled for.
+
+    Reasons are internal, skew, incompatible, need_key, awaiting_deps, frozen; null is none. A
+    branch that needs a key or waits for other logs is tried where the caller says that they came.
+    A frozen one, or one stalled for a reason that isn't known, never is.
+    """
+    no = F.lit(False)
     return (
         F.when(reason.isNull(), True)
         .when(reason == "internal", F.lit(startup) | (now_ms >= last_ms + backoff(retries, least_ms, most_ms)))
         .when(reason == "skew", ~too_far_ahead(remote_ts, now_ms))
         .when(reason == "incompatible", F.lit(startup))
-        .otherwise(False)
+        .when(reason == "need_key", no if key_came is None else F.coalesce(key_came, no))
+        .when(reason == "awaiting_deps", no if deps_done is None else F.coalesce(deps_done, no))
+        .otherwise(no)
     )

@@ -117,6 +117,89 @@ def inherited_commits(branches: DataFrame) -> DataFrame:
     return forks.join(parent, forks["parent_id"] == parent["_p"]).where("_reached >= fork_size").select("id", F.col("fork_size").alias("commit_size"))
 
 
+def reaches(branches: DataFrame, segments: DataFrame) -> DataFrame:
+    """(id, start, reach): from where a branch's commit goes on, and how far its stored segments lead without a gap.
+
+    A fork goes on from its fork size at least. Where no segment holds the next entry, reach is start.
+    """
+    b = branches.select(F.col("id").alias("branch_id"), F.greatest("commit_size", "fork_size").alias("start_idx"), "head_size")
+    c = covered_ranges(segments.select("branch_id", "start_idx", "end_size"), ["branch_id"], "start_idx", "end_size")
+    points = b.select("branch_id", "start_idx", "head_size", F.lit(1).alias("_ask"), F.lit(None).cast("bigint").alias("_end"))
+    held = c.select("branch_id", "start_idx", F.lit(None).cast("bigint").alias("head_size"), F.lit(0).alias("_ask"), F.col("end_size").alias("_end"))
+    w = Window.partitionBy("branch_id").orderBy("start_idx", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = points.unionByName(held).withColumn("_end", F.last("_end", ignorenulls=True).over(w)).where("_ask = 1")
+    return both.select(F.col("branch_id").alias("id"), F.col("start_idx").alias("start"), F.when(F.col("_end") > F.col("start_idx"), F.least("_end", F.greatest("head_size", "start_idx"))).otherwise(F.col("start_idx")).alias("reach"))
+
+
+def catch_up(branches: DataFrame, segments: DataFrame) -> DataFrame:
+    """(id, commit_size, outcome): commit sizes after one run over all branches, parents before forks.
+
+    ``branches`` has ``retry``, whether a branch may be tried. A fork that is below its fork size
+    starts once its parent has reached it in the same run, so forks of forks follow at any depth.
+    Outcomes: done (at its head), missing_segment, waits_for_parent, not_tried. Whether a branch starts
+    depends on whether its parent did; these dependencies are composed along the way to the root by pointer
+    doubling, so a chain of n forks takes log2(n) rounds.
+    """
+    spark, root = branches.sparkSession, work_folder(branches.sparkSession, "catch-up")
+    b = branches.join(reaches(branches, segments), "id")
+    p = b.select(F.col("id").alias("_pid"), F.col("commit_size").alias("_had"), F.col("reach").alias("_may"))
+    alone = F.col("fork_size").isNull() | (F.col("commit_size") >= F.col("fork_size"))
+    may = F.coalesce(F.col("retry"), F.lit(False))
+    own = b.join(p, b["parent_id"] == p["_pid"], "left").select(
+        "id", "commit_size", "start", "reach", "head_size", may.alias("retry"),
+        # Whether it starts if its parent does, and if it doesn't.
+        (may & (alone | F.coalesce(F.col("_may") >= F.col("fork_size"), F.lit(False)))).alias("_then"),
+        (may & (alone | F.coalesce(F.col("_had") >= F.col("fork_size"), F.lit(False)))).alias("_else"),
+        F.when(F.col("_pid").isNotNull() & ~alone, F.col("_pid")).alias("_up"),
+    )
+    own.write.parquet(f"{root}/own")
+    own = spark.read.schema(own.schema).parquet(f"{root}/own")
+    f, most = own.select("id", "_then", "_else", "_up"), own.count()
+    for i in count():
+        f.write.parquet(f"{root}/{i}")
+        f = spark.read.schema(f.schema).parquet(f"{root}/{i}")
+        if f.where("_up IS NOT NULL AND _then <> _else").isEmpty():
+            break
+        if 1 << i > 2 * most:
+            raise ValueError("a branch descends from itself")
+        u = f.select(F.col("id").alias("_i"), F.col("_then").alias("_t"), F.col("_else").alias("_e"), F.col("_up").alias("_u"))
+        of = lambda x: F.when(F.col(x), F.col("_then")).otherwise(F.col("_else"))
+        f = f.join(u, f["_up"] == u["_i"], "left").select("id", F.when(F.col("_i").isNull(), F.col("_then")).otherwise(of("_t")).alias("_then"), F.when(F.col("_i").isNull(), F.col("_else")).otherwise(of("_e")).alias("_else"), F.col("_u").alias("_up"))
+    # Beyond the last fork that waits nothing starts of itself.
+    starts = f.select("id", F.col("_else").alias("_starts"))
+    outcome = F.when(~F.col("retry"), "not_tried").when(~F.col("_starts"), "waits_for_parent").when(F.col("reach") >= F.col("head_size"), "done").otherwise("missing_segment")
+    return own.join(starts, "id").select("id", F.when(F.col("_starts"), F.col("reach")).otherwise(F.col("commit_size")).alias("commit_size"), outcome.alias("outcome"))
+
+
+def latest_change(branches: DataFrame) -> DataFrame:
+    """One row: the greatest stamp of a change, 0 if there is none."""
+    return branches.agg(F.coalesce(F.max("changed_at"), F.lit(0).cast("bigint")).alias("changed_at"))
+
+
+def branch_stamps(branches: DataFrame, peers: DataFrame) -> DataFrame:
+    """Every branch with its stamp, in order of stamp and id."""
+    known = branches.join(peers.select(F.col("id").alias("peer"), "peer_id"), "peer")
+    return known.orderBy("changed_at", "id").select("id", "peer_id", "container", "head_size", "changed_at")
+
+
+def unpublished(branches: DataFrame, published: DataFrame, remote_ids: list[int]) -> DataFrame:
+    """(remote_id, peer, container): logs of which a remote lacks entries, for each remote of the replica's configuration."""
+    marks = published.select("remote_id", F.col("branch_id").alias("id"), "published_size")
+    each = branches.select("id", "head_size", *LOG, F.explode(F.array(*[F.lit(r).cast(marks.schema["remote_id"].dataType) for r in remote_ids])).alias("remote_id"))
+    return each.join(marks, ["remote_id", "id"], "left").where(F.col("head_size") > F.coalesce("published_size", F.lit(0))).select("remote_id", *LOG).distinct()
+
+
+def snapshot(branches: DataFrame, peers: DataFrame) -> DataFrame:
+    """Per log its author and the sorted (head_size, head_hash, fork_size) of its branches, by which replicas are compared."""
+    known = branches.join(peers.select(F.col("id").alias("peer"), "peer_id"), "peer")
+    return known.groupBy("peer_id", "container").agg(F.sort_array(F.collect_list(F.struct("head_size", "head_hash", "fork_size"))).alias("heads"))
+
+
+def publish_order(plan: DataFrame) -> DataFrame:
+    """The order in which a pack takes segments: by branch, then by place."""
+    return plan.orderBy("branch_id", "end_size", "start_idx")
+
+
 def fork_points(segments: DataFrame, branches: DataFrame) -> DataFrame:
     """Logs that have two hashes at one size: the least such size and the number of hashes there."""
     s = segments.select("branch_id", "end_size", "end_hash").join(branches.select(F.col("id").alias("branch_id"), *LOG), "branch_id")

@@ -372,6 +372,60 @@ def inherited_commits(spark, d):
     return logs.inherited_commits(_b(spark, d))
 
 
+_REASON = "CASE n % 7 WHEN 0 THEN 'internal' WHEN 1 THEN 'skew' WHEN 2 THEN 'incompatible' WHEN 3 THEN 'need_key' WHEN 4 THEN 'awaiting_deps' WHEN 5 THEN 'frozen' END"
+_NOW = 1585000000000
+
+
+def _stalled(spark, d) -> DataFrame:
+    """The branches with a reason for which they may have stalled, made of their ``n``."""
+    b = _b(spark, d).withColumn("reason", F.expr(_REASON))
+    now = F.lit(_NOW).cast("bigint")
+    tried = scalar.retry_now(F.col("reason"), now, F.expr("shiftright(changed_at, 16)"), F.expr("n % 12"), F.col("changed_at"), False, key_came=F.expr("n % 2 = 0"), deps_done=F.expr("id % 2 = 0"))
+    return b.withColumn("retry", tried)
+
+
+_RETRY = f"""stalled AS (SELECT *, {_REASON} AS reason FROM branches),
+tried AS (SELECT *, CASE WHEN reason IS NULL THEN true WHEN reason = 'internal' THEN {_NOW} >= (changed_at >> 16) + CAST(least(1000 * power(2, n % 12), 300000) AS BIGINT) WHEN reason = 'skew' THEN NOT ((changed_at >> 16) - {_NOW} > 60000) WHEN reason = 'need_key' THEN n % 2 = 0 WHEN reason = 'awaiting_deps' THEN id % 2 = 0 ELSE false END AS retry FROM stalled)"""
+
+
+@query("retry_states", f"WITH {_RETRY} SELECT id, reason, retry FROM tried")
+def retry_states(spark, d):
+    return _stalled(spark, d).select("id", "reason", "retry")
+
+
+@query("catch_up", f"""WITH RECURSIVE {_RETRY},
+s AS (SELECT DISTINCT branch_id, start_idx AS a, end_size AS z FROM segments WHERE start_idx < end_size),
+i AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTITION BY branch_id ORDER BY a, z) AS g FROM (SELECT *, max(z) OVER (PARTITION BY branch_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)),
+r AS (SELECT branch_id, min(a) AS a, max(z) AS z FROM i GROUP BY branch_id, g),
+q AS (SELECT t.*, greatest(commit_size, coalesce(fork_size, 0)) AS start_at, coalesce((SELECT max(least(r.z, greatest(t.head_size, greatest(commit_size, coalesce(fork_size, 0))))) FROM r WHERE r.branch_id = t.id AND r.a <= greatest(commit_size, coalesce(fork_size, 0)) AND r.z > greatest(commit_size, coalesce(fork_size, 0))), greatest(commit_size, coalesce(fork_size, 0))) AS reach FROM tried t),
+w AS (SELECT id, retry AND (fork_size IS NULL OR commit_size >= fork_size) AS starts, CASE WHEN retry AND (fork_size IS NULL OR commit_size >= fork_size) THEN reach ELSE commit_size END AS now_at FROM q WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM branches)
+UNION ALL SELECT q.id, q.retry AND (q.fork_size IS NULL OR q.commit_size >= q.fork_size OR w.now_at >= q.fork_size), CASE WHEN q.retry AND (q.fork_size IS NULL OR q.commit_size >= q.fork_size OR w.now_at >= q.fork_size) THEN q.reach ELSE q.commit_size END FROM w JOIN q ON q.parent_id = w.id)
+SELECT q.id, w.now_at AS commit_size, CASE WHEN NOT retry THEN 'not_tried' WHEN NOT starts THEN 'waits_for_parent' WHEN reach >= head_size THEN 'done' ELSE 'missing_segment' END AS outcome FROM q JOIN w ON w.id = q.id""")
+def catch_up(spark, d):
+    return logs.catch_up(_stalled(spark, d), table(spark, d, "segments"))
+
+
+@query("latest_change", "SELECT coalesce(max(changed_at), 0) AS changed_at FROM branches")
+def latest_change(spark, d):
+    return logs.latest_change(_b(spark, d))
+
+
+@query("branch_stamps", "SELECT b.id, hex(p.peer_id) AS peer_id, hex(container) AS container, head_size, changed_at FROM branches b JOIN peers p ON p.id = b.peer ORDER BY changed_at, b.id")
+def branch_stamps(spark, d):
+    return _hexed(logs.branch_stamps(_b(spark, d), table(spark, d, "peers")), "peer_id", "container")
+
+
+@query("unpublished", f"WITH {_PUBLISHED} SELECT DISTINCT r.remote_id, b.peer, hex(b.container) AS container FROM branches b, (VALUES (0), (1), (2)) r(remote_id) LEFT JOIN published p ON p.branch_id = b.id AND p.remote_id = r.remote_id WHERE b.head_size > coalesce(p.published_size, 0)")
+def unpublished(spark, d):
+    return _hexed(logs.unpublished(_b(spark, d), _published(spark, d), [0, 1, 2]), "container")
+
+
+@query("log_snapshot", "SELECT hex(p.peer_id) AS peer_id, hex(container) AS container, string_agg(head_size || ':' || hex(head_hash) || ':' || coalesce(CAST(fork_size AS VARCHAR), ''), ' ' ORDER BY head_size, hex(head_hash), fork_size NULLS FIRST) AS heads FROM branches b JOIN peers p ON p.id = b.peer GROUP BY ALL")
+def log_snapshot(spark, d):
+    text = F.array_join(F.transform("heads", lambda h: F.concat(h["head_size"].cast("string"), F.lit(":"), F.hex(h["head_hash"]), F.lit(":"), F.coalesce(h["fork_size"].cast("string"), F.lit("")))), " ")
+    return _hexed(logs.snapshot(_b(spark, d), table(spark, d, "peers")).withColumn("heads", text), "peer_id", "container")
+
+
 @query("fork_points", "WITH x AS (SELECT peer, container, end_size, count(DISTINCT end_hash) AS n FROM segments s JOIN branches b ON b.id = s.branch_id GROUP BY ALL HAVING count(DISTINCT end_hash) > 1) SELECT peer, hex(container) AS container, min(end_size) AS fork_at, arg_min(n, end_size) AS n_lines FROM x GROUP BY peer, container")
 def fork_points(spark, d):
     return _hexed(logs.fork_points(table(spark, d, "segments"), _b(spark, d)), "container")
