@@ -7,16 +7,13 @@ published (remote_id, branch_id, published_size, pending_since).
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from itertools import count
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfold.functions.scalar import HASH_PREFIX
-from loomfold.session import ship, work_folder
+from loomfold.operators.chains import chain_hashes  # noqa: F401
+from loomfold.session import work_folder
 
 #: Rows of a page of changes, rows and bytes of a page of segments.
 CHANGES_PAGE, PAGE_ROWS, PAGE_BYTES = 1_000, 1_024, 4 << 20
@@ -257,18 +254,22 @@ def head_placement(start: Column, end: Column, head: Column, hash_at_head: Colum
     return F.when(end <= head, "nothing_new").when(~hash_at_head.eqNullSafe(head_hash), "mismatch").when(start == head, "exact").otherwise("suffix")
 
 
-def lookup(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """Segments that hold the entries asked for: (branch_id, idx) with start_idx <= idx < end_size.
+def slices(points: DataFrame, ranges: DataFrame, by: list[str], idx: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Ranges as pieces, and points, with the ``_slice`` they fall in.
 
-    Segments are cut at slices of about their branch's mean length, so the join is on (branch,
-    slice): a point meets the few segments of its slice, not all of its branch, and a branch that
-    is hot falls apart. Overlapping segments all count; empty ones hold nothing.
+    Each ``by`` has slices of about its ranges' mean length, a power of two, so that a point meets
+    the few ranges of its slice, not all of its ``by``, and a ``by`` that is hot falls apart. Empty ranges hold nothing.
     """
-    s = segments.where("start_idx < end_size").select("branch_id", "start_idx", "end_size", "len").distinct()
-    mean = F.avg(F.col("end_size").cast("double") - F.col("start_idx").cast("double"))
-    bits = s.groupBy("branch_id").agg(F.least(F.ceil(F.log2(mean)), F.lit(62)).cast("int").alias("_bits"))
-    pieces = s.join(bits, "branch_id").withColumn("_slice", F.explode(F.expr("sequence(shiftright(start_idx, _bits), shiftright(end_size - 1, _bits))"))).drop("_bits")
-    asked = points.join(bits, "branch_id").withColumn("_slice", F.expr("shiftright(idx, _bits)")).drop("_bits")
+    s = ranges.where(F.col(start) < F.col(end))
+    mean = F.avg(F.col(end).cast("double") - F.col(start).cast("double"))
+    bits = s.groupBy(*by).agg(F.least(F.ceil(F.log2(mean)), F.lit(62)).cast("int").alias("_bits"))
+    pieces = s.join(bits, by).withColumn("_slice", F.explode(F.expr(f"sequence(shiftright(`{start}`, _bits), shiftright(`{end}` - 1, _bits))"))).drop("_bits")
+    return pieces, points.join(bits, by).withColumn("_slice", F.expr(f"shiftright(`{idx}`, _bits)")).drop("_bits")
+
+
+def lookup(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """Segments that hold the entries asked for: (branch_id, idx) with start_idx <= idx < end_size. Overlapping segments all count."""
+    pieces, asked = slices(points, segments.select("branch_id", "start_idx", "end_size", "len").distinct(), ["branch_id"], "idx", "start_idx", "end_size")
     return asked.join(pieces, ["branch_id", "_slice"]).where("start_idx <= idx AND idx < end_size").drop("_slice")
 
 
@@ -283,32 +284,3 @@ def tips(packs: DataFrame, by: list[str]) -> DataFrame:
 def heads_by_log(branches: DataFrame) -> DataFrame:
     """Per log the sorted heads of its branches. The branches of one log are few; entries aren't gathered."""
     return branches.groupBy(*LOG).agg(F.sort_array(F.collect_list(F.struct("head_size", F.hex("head_hash").alias("head_hash")))).alias("heads"))
-
-
-def chain_hashes(entries: DataFrame, by: list[str], order: str, digest: str, prefix: str = HASH_PREFIX) -> DataFrame:
-    """(by..., order, chain_hash): the hash chain of every log after each of its entries.
-
-    A chain is sequential, so a log stays in one partition, but it flows through sorted and is
-    never gathered: a task holds one batch and one hash, however long the log.
-    """
-    ship(entries.sparkSession)
-    n = len(by)
-    seed_tag, tag = (prefix + "ChainSeed").encode().ljust(16, b"\0"), (prefix + "ChainHash").encode().ljust(16, b"\0")
-    if len(tag) > 16 or len(seed_tag) > 16:
-        raise ValueError("a tag has at most 16 bytes")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, chain = None, b""
-        for b in batches:
-            out = []
-            names = zip(*[b.column(i).to_pylist() for i in range(n)])
-            for name, d in zip(names, b.column(n + 1).to_pylist()):
-                if name != last:
-                    last, chain = name, hashlib.sha256(seed_tag + "\0".join(map(str, name)).encode()).digest()
-                chain = hashlib.sha256(tag + chain + (d or b"") + b"\0").digest()
-                out.append(chain)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n + 1)], pa.array(out, pa.binary())], [*by, order, "chain_hash"])
-
-    rows = entries.select(*by, order, digest).repartition(*by).sortWithinPartitions(*by, order)
-    fields = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in [*by, order])
-    return rows.mapInArrow(run, f"{fields}, chain_hash binary")

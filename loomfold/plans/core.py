@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfold.functions import ids, scalar
 from loomfold.operators import cells as longform
-from loomfold.operators import clock, compare, delivery, feed, fold, logs, packfiles, validate
+from loomfold.operators import chains, clock, compare, delivery, feed, fold, local, logs, packfiles, validate
 from loomfold.plans import fixtures as fx
 from loomfold.query import Store
 from loomfold.session import table
@@ -533,6 +533,42 @@ def chain_hash(spark, d):
     return chained.groupBy("user_id").agg(F.count("*").alias("size"), F.max_by("chain_hash", "event_id").alias("c")).select("user_id", "size", F.lower(F.hex("c")).alias("chain_hash"))
 
 
+@query("chain_verify", """WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM events)
+SELECT user_id, min(idx) AS start_idx, max(idx) + 1 AS end_size, NOT (user_id % 5 = 0 AND idx // 16 = 1) AS intact, NOT (user_id % 5 = 0 AND idx // 16 = 2) AS linked FROM x GROUP BY user_id, idx // 16""")
+def chain_verify(spark, d):
+    """Stored segments of 16 entries, of which some end with another hash: these aren't intact, the next ones not linked."""
+    e = table(spark, d, "events").select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint").alias("idx"), F.unhex(F.sha2("props", 256)).alias("entry_hash"), F.lit(None).cast("binary").alias("cipher"))
+    chain = chains.chain_hashes(e, ["user_id"], "idx", "entry_hash")
+    ends = chain.groupBy("user_id", F.expr("idx div 16").alias("b")).agg(F.min("idx").alias("start_idx"), (F.max("idx") + 1).alias("end_size"), F.max_by("chain_hash", "idx").alias("end_hash"))
+    before = F.lag("end_hash").over(Window.partitionBy("user_id").orderBy("b"))
+    seed = scalar.tagged_sha256("ChainSeed", F.col("user_id").cast("string").cast("binary"))
+    stored = ends.withColumn("prev_hash", F.coalesce(before, seed)).withColumn("end_hash", F.when(F.expr("user_id % 5 = 0 AND b = 1"), F.unhex(F.sha2("end_hash", 256))).otherwise(F.col("end_hash")))
+    return chains.verify(e, stored, ["user_id"])
+
+
+_LOCAL = f"""roots AS (SELECT peer, container, arg_min(struct_pack(h := head_size, c := commit_size, e := n % 5 = 0), id) FILTER (WHERE parent_id IS NULL) AS r, count(*) AS n FROM branches GROUP BY ALL),
+o AS (SELECT o.*, p.peer_id, x.r, CASE WHEN x.n IS NULL THEN NULL WHEN x.r IS NULL THEN 'no root' WHEN NOT x.r.e AND x.r.c <> x.r.h THEN 'sizes differ' END AS fault FROM row_ops o JOIN peers p ON p.id = o.peer LEFT JOIN roots x ON x.peer = o.peer AND x.container = o.container WHERE o.container IS NOT NULL)"""
+
+
+def _local(spark, d) -> local.Written:
+    peers = table(spark, d, "peers").select(F.col("id").alias("peer"), "peer_id")
+    ops = table(spark, d, "row_ops").where("container IS NOT NULL").join(peers, "peer").select("peer_id", "container", "seq", F.coalesce(F.expr("unix_millis(cast(arrived_at AS timestamp))"), F.lit(0)).alias("wall"), F.col("who").alias("user_id"), F.coalesce(F.col("body").cast("binary"), F.lit(b"")).alias("body"))
+    b = _b(spark, d).join(peers, "peer").withColumn("head_err", F.lit(None).cast("string")).withColumn("commit_err", F.expr("CASE WHEN n % 5 = 0 THEN 'internal' END"))
+    return local.execute(ops, local.own_roots(b))
+
+
+@query("local_exec", f"""WITH {_LOCAL}, x AS (SELECT *, coalesce(epoch_us(arrived_at) // 1000, 0) << 16 AS c, row_number() OVER (PARTITION BY peer ORDER BY seq) AS k FROM o WHERE fault IS NULL)
+SELECT seq, coalesce(r.h, 0) + row_number() OVER (PARTITION BY peer, container ORDER BY seq) - 1 AS start_idx, k + greatest(0, max(c - k) OVER (PARTITION BY peer ORDER BY seq)) AS stamp, coalesce(r.e OR r.c = r.h, true) AND NOT coalesce(r.e, false) AS commits FROM x""")
+def local_exec(spark, d):
+    """All row_ops as local writes of their authors, on top of the branches that there are."""
+    return _local(spark, d).entries.select("seq", "start_idx", "stamp", "commits")
+
+
+@query("local_rejects", f"WITH {_LOCAL} SELECT seq, fault FROM o WHERE fault IS NOT NULL")
+def local_rejects(spark, d):
+    return _local(spark, d).rejected.select("seq", "fault")
+
+
 @query("replica_diff", "SELECT 0 AS only_a, 0 AS only_b")
 def replica_diff(spark, d):
     """Two replicas that got the same operations in other orders, one of them twice, agree."""

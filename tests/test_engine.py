@@ -268,6 +268,80 @@ def test_chain_is_a_chain(spark):
     assert len(got) == 6
 
 
+def test_entry_hashes_chains_and_local_writes(spark):
+    """Against hashlib: sizes of one to nine bytes, ciphers in force, seeds of binary ids, logs that go on from a head."""
+    import hashlib
+
+    from loomfold.operators import chains, local
+
+    tag = lambda d: ("loom1/" + d).encode().ljust(16, b"\0")
+    sha = lambda *p: hashlib.sha256(b"".join(p)).digest()
+    numbers = [0, 1, 127, 128, 2**14 - 1, 2**14, 2**21, 2**28, 2**35, 2**42, 2**49, 2**56 - 1, 2**56, 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", chains.varint(F.col("n")), chains.little(F.col("n")))
+    assert all(bytes(v) == codec.put_uint(n) and bytes(w) == n.to_bytes(8, "little") for n, v, w in df.collect())
+    p, c, key = b"p" * 32, b"c" * 16, b"\1" + b"f" * 32
+    sized = lambda b: codec.put_uint(len(b)) + b
+    rows = [("op", 5, b"u", b"x" * 200), ("use_key", None, None, key), ("op", -7, None, b""), ("expunged", None, None, b"h" * 32)]
+    e = spark.createDataFrame([(p, c, i, *r) for i, r in enumerate(rows)], "peer_id binary, container binary, idx bigint, kind string, ts bigint, user_id binary, body binary")
+    h = chains.entry_hash(*[F.col(x) for x in ("kind", "peer_id", "container", "idx", "ts", "user_id", "body")])
+    e = e.withColumn("entry_hash", h).withColumn("cipher", chains.active_cipher(F.col("kind"), F.col("body"), ["peer_id", "container"], "idx"))
+    got = {r["idx"]: bytes(r["chain_hash"]) for r in chains.chain_hashes(e, ["peer_id", "container"], "idx", "entry_hash", cipher="cipher").collect()}
+    chain, cipher = sha(tag("ChainSeed"), p, c), None
+    for i, (kind, ts, user, body) in enumerate(rows):
+        cipher = body if kind == "use_key" else cipher
+        eh = {"op": lambda: sha(tag("LogOp"), p, c, codec.put_uint(i), sized((ts or 0).to_bytes(8, "little", signed=True)), sized(user or b""), sized(body)), "use_key": lambda: sha(tag("LogUseKey"), p, c, codec.put_uint(i), body), "expunged": lambda: body}[kind]()
+        chain = sha(tag("ChainHash"), chain, eh, b"\1" + cipher if cipher else b"\0")
+        assert got[i] == chain
+    ops = spark.createDataFrame([(p, c, 1, 50, None, b"a"), (p, c, 2, 40, b"w", b"b"), (p, b"d" * 16, 3, 60, None, b"z"), (p, b"e" * 16, 4, 70, None, b"no")], "peer_id binary, container binary, seq bigint, wall bigint, user_id binary, body binary")
+    branches = [(1, p, c, None, 4, chain, 4, None, None), (2, p, c, 1, 9, chain, 9, None, None), (3, p, b"d" * 16, None, 7, chain, 5, None, "skew"), (4, p, b"e" * 16, 3, 7, chain, 7, None, None)]
+    b = spark.createDataFrame(branches, "id bigint, peer_id binary, container binary, parent_id bigint, head_size bigint, head_hash binary, commit_size bigint, head_err string, commit_err string")
+    w = local.execute(ops, local.own_roots(b))
+    assert [(r["seq"], r["fault"]) for r in w.rejected.collect()] == [(4, "no root")]
+    ent = {r["seq"]: r for r in w.entries.collect()}
+    assert [(ent[i]["start_idx"], ent[i]["stamp"], ent[i]["commits"]) for i in (1, 2, 3)] == [(4, 50 << 16, True), (5, (50 << 16) + 1, True), (7, 60 << 16, False)]
+    for i, cc in ((1, c), (2, c)):
+        eh = sha(tag("LogOp"), p, cc, codec.put_uint(ent[i]["start_idx"]), sized(ent[i]["stamp"].to_bytes(8, "little")), sized(ent[i]["user_id"] or b""), sized(bytes(ent[i]["body"])))
+        chain = sha(tag("ChainHash"), chain, eh, b"\0")
+        assert bytes(ent[i]["end_hash"]) == chain
+    heads = {bytes(r["container"]): (r["head_size"], r["commit_size"], bytes(r["head_hash"])) for r in w.heads.collect()}
+    assert heads[c] == (6, 6, chain) and heads[b"d" * 16][:2] == (8, 5)
+
+
+def test_catch_up_equals_sequential(spark):
+    rng = random.Random(11)
+    rows, segs = [], []
+    for i in range(160):
+        parent = rng.choice([None, *range(max(0, i - 6), i)]) if i else None
+        fork = rng.randint(0, 12) if parent is not None else None
+        head = (fork or 0) + rng.randint(0, 10)
+        rows.append((i, parent, fork, head, rng.randint(0, head), rng.random() < 0.8))
+        a = fork or 0
+        while a < head:
+            z = min(head, a + rng.randint(1, 4))
+            if rng.random() < 0.85:
+                segs.append((i, a, z))
+            a = z
+    want, sizes = {}, {}
+    for i, parent, fork, head, had, retry in rows:
+        size, how = had, "not_tried"
+        if retry:
+            how = "done"
+            if fork is not None and size < fork:
+                if parent is not None and sizes[parent] >= fork:
+                    size = fork
+                else:
+                    how = "waits_for_parent"
+            if how == "done":
+                while size < head and (s := next((z for j, a, z in segs if j == i and a <= size < z), None)):
+                    size = s
+                how = "done" if size >= head else "missing_segment"
+        sizes[i] = size
+        want[i] = (size, how)
+    b = spark.createDataFrame(rows, "id bigint, parent_id bigint, fork_size bigint, head_size bigint, commit_size bigint, retry boolean")
+    got = {r["id"]: (r["commit_size"], r["outcome"]) for r in logs.catch_up(b, spark.createDataFrame(segs, "branch_id bigint, start_idx bigint, end_size bigint")).collect()}
+    assert got == want
+
+
 # --- pack files
 
 
