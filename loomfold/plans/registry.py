@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfold.plans import core, pipeline, streams
+from loomfold.plans import core, packing, pipeline, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ALL: dict[str, tuple[Query, str | None]] = {**core.QUERIES, **streams.QUERIES, **pipeline.QUERIES}
+ALL: dict[str, tuple[Query, str | None]] = {**core.QUERIES, **streams.QUERIES, **packing.QUERIES, **pipeline.QUERIES}
