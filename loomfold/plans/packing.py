@@ -75,10 +75,10 @@ def pack_build(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pack_marks(spark: SparkSession, d: str) -> DataFrame:
-    """How far each log is published after the round, and what couldn't be packed."""
-    marks = _built(spark, d).select(F.explode("published").alias("p"), "errors")
-    sizes = _entries(spark, d).groupBy(*LOG).agg(F.count("*").alias("n")).withColumn("branch_id", F.xxhash64(*LOG))
-    return marks.groupBy("p.branch_id").agg(F.max("p.published_size").alias("published_size"), F.max(F.size("errors")).alias("n_errors")).join(sizes, "branch_id").select(F.hex("peer_id").alias("peer_id"), F.hex("container").alias("container"), "published_size", "n_errors")
+    """How far each log is published after the round, of how many entries."""
+    marks = _built(spark, d).select(F.explode("published").alias("p")).groupBy("p.branch_id").agg(F.max("p.published_size").alias("published_size"))
+    sizes = _entries(spark, d).groupBy(*LOG).agg(F.count("*").alias("n_entries")).withColumn("branch_id", F.xxhash64(*LOG))
+    return sizes.join(marks, "branch_id", "left").select(F.hex("peer_id").alias("peer_id"), F.hex("container").alias("container"), "n_entries", "published_size")
 
 
 def pack_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ _E = "e AS (SELECT p.peer_id, o.container, row_number() OVER (PARTITION BY o.pee
 _N = "len([x FOR x IN {} IF x IS NOT NULL])"
 QUERIES = {
     "pack_build": (pack_build, f"WITH {_E} SELECT hex(peer_id) AS peer_id, hex(container) AS container, idx, ts, coalesce(hex(who), '') AS user_id, body, NULL::VARCHAR AS error FROM e"),
-    "pack_marks": (pack_marks, f"WITH {_E} SELECT hex(peer_id) AS peer_id, hex(container) AS container, count(*) AS published_size, 0 AS n_errors FROM e GROUP BY ALL"),
+    "pack_marks": (pack_marks, f"WITH {_E} SELECT hex(peer_id) AS peer_id, hex(container) AS container, count(*) AS n_entries, count(*) AS published_size FROM e GROUP BY ALL"),
     "pack_headers": (
         pack_headers,
         f"""SELECT delivery_id, coalesce(packed_at, 0) AS packed_at, coalesce({_N.format('parents')}, 0) AS n_parents, coalesce(list_sum([x.end_seq FOR x IN parents]), 0) AS parent_seqs, coalesce({_N.format('self_supersedes')}, 0) AS n_superseded, coalesce({_N.format('self_segments')}, 0) AS n_segments,

@@ -391,8 +391,9 @@ def build(segments: DataFrame, by: list[str], packed_at: int, prefix: str = HASH
     container, end_size, published_size and body. Segments of a branch are joined in order, from what
     is published on; a branch's bytes beyond ``chunk_bytes`` make another joined segment, joined
     ones beyond ``pack_bytes`` the next pack, whose parent is the one before. So no task holds more than a
-    chunk or a pack, whatever a topic or a branch has to publish. Branches that can't be joined stay out, with the reason in
-    ``errors``. ``published`` has the new marks of a pack's branches.
+    chunk or a pack, whatever a topic or a branch has to publish. What can't be joined stays out, and what
+    follows it in its branch: a row with pack_no -1 and without a pack has the reasons in ``errors``.
+    ``published`` has the new marks of a pack's branches.
     """
     ship(segments.sparkSession)
     own = Window.partitionBy(*by, "branch_id").orderBy("end_size").rowsBetween(Window.unboundedPreceding, -1)
@@ -420,10 +421,19 @@ def build(segments: DataFrame, by: list[str], packed_at: int, prefix: str = HASH
 
     spots = chunked.select(*key, "end_size", "published_size", "body").repartition(*by, "branch_id", "_chunk").sortWithinPartitions(*key, "end_size").drop("end_size")
     joined = spots.mapInArrow(join, out)
+    # What follows a part that stays out stays out as well, as marks may only go on without a gap.
+    line = Window.partitionBy(*by, "branch_id").orderBy("_chunk")
+    gap = (F.col("idx_start") != F.lag("idx_end").over(line)) | (F.col("prev_chain_hash") != F.lag("end_chain_hash").over(line))
+    joined = joined.withColumn("error", F.coalesce("error", F.when(gap, "segments that don't follow one another")))
+    broken = F.max(F.col("error").isNotNull()).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    joined = joined.withColumn("error", F.when(broken, F.coalesce("error", F.lit("what comes before it stays out")))).withColumn("joined", F.when(F.col("error").isNull(), F.col("joined")))
     tips = segments.groupBy(*by).agg(F.first("parents", ignorenulls=True).alias("parents"))
     # Places and packs by running sums over the joined segments, of which only the sizes matter here.
     w = Window.partitionBy(*by).orderBy("branch_id", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = joined.withColumn("pack_no", F.floor(F.coalesce(F.sum(F.coalesce(F.octet_length("joined"), F.lit(0))).over(w), F.lit(0)) / pack_bytes))
+    slot = F.floor(F.coalesce(F.sum(F.octet_length("joined")).over(w), F.lit(0)) / pack_bytes)
+    fits = joined.where("error IS NULL").withColumn("_slot", slot).withColumn("pack_no", F.dense_rank().over(Window.partitionBy(*by).orderBy("_slot")).cast("bigint") - 1).drop("_slot")
+    # What stays out is listed by itself.
+    numbered = fits.unionByName(joined.where("error IS NOT NULL").withColumn("pack_no", F.lit(-1).cast("bigint")))
     seq = [F.col("first_seq") + F.col("pack_no"), F.col("first_seq") + F.col("pack_no") + 1]
     known = numbered.withColumns({"_id": pack_id(by), "_seq": seq[0], "_before": F.xxhash64(*by, "first_seq", F.col("pack_no") - 1)}).join(tips, by)
     end = T.StructType.fromDDL(BUILT)
@@ -433,10 +443,11 @@ def build(segments: DataFrame, by: list[str], packed_at: int, prefix: str = HASH
         from pyspark.sql.pandas.types import to_arrow_schema
 
         rows = sorted(t.to_pylist(), key=lambda r: (r["branch_id"], r["_chunk"]))
+        if rows[0]["pack_no"] < 0:
+            values = [*[rows[0][c] for c in by], -1, None, None, None, [], [r["error"] for r in rows]]
+            return pa.table([pa.array([v], f.type) for v, f in zip(values, to_arrow_schema(result))], schema=to_arrow_schema(result))
         r0, body, own_, peers, marks, at = rows[0], [], [], {}, {}, 0
         for r in rows:
-            if r["error"]:
-                continue
             d = {"container_id": r["container"], **{c: r[c] for c, _ in place[:4]}, "body_start": at, "body_end": at + len(r["joined"])}
             (own_ if r["peer_id"] == r["author"] else peers.setdefault(r["peer_id"], [])).append(d)
             body.append(r["joined"])
@@ -446,7 +457,7 @@ def build(segments: DataFrame, by: list[str], packed_at: int, prefix: str = HASH
         whole = b"".join(body)
         header = {"packed_at": packed_at, "parents": parents, "self_supersedes": [], "self_segments": own_, "peer_data": [{"peer_id": p, "segments": s, "supersedes": []} for p, s in sorted(peers.items())], "body_sha256": body_hash(whole, prefix), "signature": UNSIGNED}
         name = f"{r0['_seq']:04x}-{r0['_seq'] + 1:04x}-{r0['_id'] % (1 << 64):016x}-00"
-        values = [*[r0[c] for c in by], r0["pack_no"], name, encode_header(header), whole, [{"branch_id": k, "published_size": v} for k, v in marks.items()], [r["error"] for r in rows if r["error"]]]
+        values = [*[r0[c] for c in by], r0["pack_no"], name, encode_header(header), whole, [{"branch_id": k, "published_size": v} for k, v in marks.items()], []]
         return pa.table([pa.array([v], f.type) for v, f in zip(values, to_arrow_schema(result))], schema=to_arrow_schema(result))
 
     return known.groupBy(*by, "pack_no").applyInArrow(assemble, result)
@@ -473,7 +484,7 @@ def unpack(built: DataFrame, carry: list[str], prefix: str = HASH_PREFIX) -> Dat
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return built.select(*carry, "header", "body").mapInArrow(run, out)
+    return built.where("header IS NOT NULL").select(*carry, "header", "body").mapInArrow(run, out)
 
 
 def read_pack(header: bytes, body: bytes | None, prefix: str = HASH_PREFIX) -> Iterator[tuple]:
@@ -538,7 +549,7 @@ def delete_pack(folder: str, name: str) -> None:
 def publish(built: DataFrame, folder: str) -> list[str]:
     """Write built packs one after the other, each pair whole or not at all; the names written. The driver holds one pack at a time."""
     names = []
-    for r in built.select("file_name", "header", "body").toLocalIterator():
+    for r in built.where("header IS NOT NULL").select("file_name", "header", "body").toLocalIterator():
         write_pack(folder, r["file_name"], decode_header(bytes(r["header"])), bytes(r["body"]))
         names.append(r["file_name"])
     return names

@@ -162,6 +162,18 @@ def test_wrong_integers(data):
         codec.get_uint(data) if data[:1] != b"\x02" else codec.decode_op(data)
 
 
+def test_bytes_of_operations():
+    """Worked out by hand from the layout: tag, table id lowest byte first, key, number of sets with column and value, number of nulls with columns."""
+    a, b = (f.column_id for f in NOTES.values)
+    assert (NOTES.table_id, a, b) == (0x2005, 0x40, 0x80)
+    assert codec.encode_op(NOTES.table_id, [1], [(a, "xy"), (b, -3)], []) == bytes.fromhex("00" "0520" "02" "02" "40" "027879" "80" "05" "00")
+    assert codec.encode_op(NOTES.table_id, [-64], [], [a, b]) == bytes.fromhex("00" "0520" "7f" "00" "02" "40" "80")
+    assert codec.encode_op(NOTES.table_id, [64], None, None) == bytes.fromhex("01" "0520" "8001")
+    t = table("t", 9, {"a": "text", "b": "uuid"}, {"x": "bytes"})
+    assert codec.encode_op(t.table_id, ["é", b"u" * 16], [(t.values[0].column_id, b"\0\1")], []) == bytes.fromhex("00" "095c" "02c3a9" + "75" * 16 + "01" "00" "020001" "00")
+    assert codec.put_uint(300) == b"\xac\x02" and codec.put_uint(2**64 - 1) == b"\xff" * 9 and codec.put_int(-(2**63)) == b"\xff" * 9
+
+
 # --- clock
 
 
@@ -345,6 +357,87 @@ def test_catch_up_equals_sequential(spark):
 # --- pack files
 
 
+def log_segments(peer, container, sizes, start=0, chain=None):
+    """Encoded segments of a log that follow one another, and the chain after them."""
+    chain, out, i = chain or pk.Chain(peer, container), [], start
+    for n in sizes:
+        size, before = chain.size, chain.hash
+        entries = [{"entry_type": "op", "ts": 100 + i + k, "user_id": b"", "body": bytes([i + k])} for k in range(n)]
+        for e in entries:
+            chain.add(e)
+        out.append((size, chain.size, pk.encode_segment(size, before, b"\0" + bytes([i]) * 64, [*entries, {"entry_type": "signature", "body": b"\0" * 65}])))
+        i += n
+    return out, chain
+
+
+def test_segments_join_and_are_cut():
+    peer, c = b"p" * 32, b"c" * 16
+    segs, chain = log_segments(peer, c, [3, 2, 4])
+    joined, at = pk.join_segments(peer, c, [x[2] for x in segs])
+    assert (at["idx_start"], at["idx_end"], at["end_chain_hash"]) == (0, 9, chain.hash) and at["prev_chain_hash"] == pk.Chain(peer, c).hash
+    s = pk.open_segment(joined)
+    assert [e["body"] for e in s.entries] == [bytes([i]) for i in range(9)] and s.signature == b"\0" + bytes([5]) * 64
+    rest, at = pk.join_segments(peer, c, [x[2] for x in segs], start=4)
+    assert (at["idx_start"], at["idx_end"]) == (4, 9) and len(pk.open_segment(rest).entries) == 5
+    again, _ = pk.join_segments(peer, c, [pk.join_segments(peer, c, [segs[0][2], segs[1][2]])[0], segs[2][2]], 4)
+    assert again == rest and pk.suffix(peer, c, joined, 4)[0] == rest
+    for bad in ([segs[0][2], segs[2][2]], [segs[1][2], segs[0][2]], []):
+        with pytest.raises(pk.DecodeError):
+            pk.join_segments(peer, c, bad)
+    for start in (9, 20):
+        with pytest.raises(pk.DecodeError):
+            pk.join_segments(peer, c, [x[2] for x in segs], start)
+    key = b"\1" + b"f" * 32
+    keyed = pk.encode_segment(0, pk.Chain(peer, c).hash, b"\0" * 65, [{"entry_type": "use_key", "body": key}, {"entry_type": "op", "ts": 1, "user_id": b"u", "body": b"x"}])
+    cut, _ = pk.suffix(peer, c, keyed, 1)
+    assert pk.open_segment(cut).cipher == key
+
+
+def test_rounds_of_packs(spark, tmp_path):
+    """Two topics; a log with a gap stays out, others go on from what is published, large rounds make several packs in a row."""
+    me, other, rows = b"m" * 32, b"o" * 32, []
+    for branch, (peer, topic, sizes, done) in enumerate([(me, 1, [3] * 12, None), (other, 1, [2, 2, 2], 3), (me, 1, [2] * 20, None), (me, 2, [1], None)]):
+        c = bytes([branch]) * 16
+        for i, (a, z, body) in enumerate(log_segments(peer, c, sizes)[0]):
+            if z > (done or 0) and not (branch == 2 and i == 7):
+                rows.append((topic, me, 5, [(77, 5)], branch, peer, c, z, done, body))
+    df = spark.createDataFrame(rows, "topic int, author binary, first_seq bigint, parents array<struct<id:bigint,end_seq:bigint>>, branch_id bigint, peer_id binary, container binary, end_size bigint, published_size bigint, body binary")
+    size = max(len(r[-1]) for r in rows)
+    built = pk.build(df, ["topic"], 123, chunk_bytes=4 * size, pack_bytes=2 * size).cache()
+    got = {t: sorted((r for r in built.collect() if r["topic"] == t and r["pack_no"] >= 0), key=lambda r: r["pack_no"]) for t in (1, 2)}
+    assert [r["pack_no"] for r in got[1]] == list(range(len(got[1]))) and len(got[1]) > 1 and len(got[2]) == 1
+    out = built.where("pack_no < 0").collect()
+    assert len(out) == 1 and out[0]["topic"] == 1 and out[0]["header"] is None and len(out[0]["errors"]) > 1
+    heads = [pk.decode_header(bytes(r["header"])) for r in got[1]]
+    assert heads[0]["parents"] == [{"id": 77, "end_seq": 5}]
+    for i, (h, r) in enumerate(zip(heads[1:], got[1])):
+        name = r["file_name"].split("-")
+        assert h["parents"] == [{"id": int.from_bytes(bytes.fromhex(name[2]), "big", signed=True), "end_seq": int(name[1], 16)}] and int(name[0], 16) == 5 + i
+    marks = {}
+    for r in got[1]:
+        for p in r["published"]:
+            marks[p["branch_id"]] = max(marks.get(p["branch_id"], 0), p["published_size"])
+    upto = marks[2]
+    assert marks == {0: 36, 1: 6, 2: upto} and upto < 14
+    read = sorted((bytes(r["container"])[0], r["idx"], r["peer_id"] is None) for r in pk.unpack(built.where("topic = 1"), []).collect())
+    assert read == [(0, i, True) for i in range(36)] + [(1, i, False) for i in range(3, 6)] + [(2, i, True) for i in range(upto)]
+    # Files: written, listed, read as bodies, with what keeps some from being read.
+    folder = str(tmp_path / "1" / "me")
+    names = pk.publish(built.where("topic = 1"), folder)
+    assert sorted(names) == sorted(r["file_name"] for r in got[1]) and pk.listing(spark, str(tmp_path)).count() == len(names)
+    assert pk.bodies(spark, str(tmp_path), pk.headers(spark, str(tmp_path))).where("intact").count() == len(names)
+    good, peers = got[1][0], spark.createDataFrame([(me,)], "peer_id binary")
+    h = pk.decode_header(bytes(good["header"]))
+    shifted = {**h, "self_segments": [{**d, "idx_end": d["idx_end"] + 1} for d in h["self_segments"]]}
+    odd = [("fine", bytes(good["header"]), bytes(good["body"])), ("header", b"\x09", b""), ("hash", bytes(good["header"]), b"other"), ("none", bytes(good["header"]), None), ("metadata", pk.encode_header(shifted), bytes(good["body"]))]
+    for name, body in (("newer", pk.encode_segment(0, me, b"\0" * 65, [])[:98] + b"\x07"), ("cut", pk.encode_segment(0, me, b"\0" * 65, [])[:50]), ("opaque", pk.encode_segment(0, me, b"\0" * 65, [])[:98] + b"\0\0")):
+        d = {**h["self_segments"][0], "body_start": 0, "body_end": len(body)}
+        odd.append((name, pk.encode_header({**h, "self_segments": [d], "peer_data": [{"peer_id": other, "supersedes": [], "segments": []}], "body_sha256": pk.body_hash(body)}), body))
+    found = {r["name"]: (r["flags"], r["pending_parents"], r["missing_peers"]) for r in pk.blocked(spark.createDataFrame(odd, "name string, header binary, body binary"), ["name"], spark.createDataFrame([(77, 5)], "id bigint, end_seq bigint"), peers).collect()}
+    assert found == {"header": (["corrupt_header"], 0, 0), "hash": (["bad_body_hash"], 0, 0), "none": (["bad_body_hash"], 0, 0), "metadata": (["bad_metadata"], 0, 0), "newer": (["needs_upgrade"], 0, 1), "cut": (["decode_error"], 0, 1), "opaque": (["need_key"], 0, 1)}
+    assert all(r["pending_parents"] == 1 for r in pk.blocked(spark.createDataFrame(odd[:1], "name string, header binary, body binary"), ["name"], spark.createDataFrame([], "id bigint, end_seq bigint"), peers).collect())
+
+
 def test_packs_round_trip(spark, tmp_path):
     folder = str(tmp_path / "_" / "ab")
     sign, h = b"\0" + b"s" * 64, b"h" * 32
