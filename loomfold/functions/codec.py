@@ -192,4 +192,4 @@ def decode_ops(rows: DataFrame, body: str, carry: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(v, t) for v, t in zip(out.values(), types)]], [*carry, *out])
 
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
-    return rows.select(*carry, body).mapInArrow(run, f"{fields}table_id int, kind string, pk array<{_VALUE}>, sets array<struct<column_id:int,value:{_VALUE}>>, nulls array<int>, error string")
+    return spread(rows.select(*carry, body)).mapInArrow(run, f"{fields}table_id int, kind string, pk array<{_VALUE}>, sets array<struct<column_id:int,value:{_VALUE}>>, nulls array<int>, error string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,11 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return net.agg(F.coalesce(F.sum(F.greatest("_n", zero)), zero).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("_n"), zero)), zero).alias("only_b"))
 
 
-def groups(links: DataFrame, member: str, shared: str, max_rounds: int = 64) -> DataFrame:
+def groups(links: DataFrame, member: str, shared: str) -> DataFrame:
     """(member, label): members connected through what they share, labelled by their least member.
 
     Each round a member takes the least label among those it shares something with, and the
-    label's own label. Rounds are written to the shared folder and end when nothing changes.
+    label's own label. Labels only fall, so rounds, which are written to the shared folder, end when nothing changes.
     """
     spark = links.sparkSession
     root = work_folder(spark, "groups")
@@ -32,7 +34,7 @@ def groups(links: DataFrame, member: str, shared: str, max_rounds: int = 64) ->
     pairs.write.parquet(f"{root}/pairs")
     pairs = spark.read.parquet(f"{root}/pairs")
     labels = pairs.select(member).distinct().withColumn("label", F.col(member))
-    for i in range(max_rounds):
+    for i in count():
         by_shared = pairs.join(labels, member).groupBy(shared).agg(F.min("label").alias("label"))
         step = pairs.join(by_shared, shared).groupBy(member).agg(F.min("label").alias("label"))
         jump = labels.select(F.col(member).alias("_m"), F.col("label").alias("_l"))
@@ -44,4 +46,3 @@ def groups(links: DataFrame, member: str, shared: str, max_rounds: int = 64) ->
         labels = new
         if changed.isEmpty():
             return labels
-    raise RuntimeError(f"not connected after {max_rounds} rounds")

@@ -204,6 +204,49 @@ def fork_points(segments: DataFrame, branches: DataFrame) -> DataFrame:
     return at.groupBy(*LOG).agg(F.min(F.struct("end_size", "n_lines")).alias("_m")).select(*LOG, F.col("_m.end_size").alias("fork_at"), F.col("_m.n_lines").alias("n_lines"))
 
 
+def fork_tree(segments: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., branch, parent, fork_size, head_size, head_hash): the lines of each log and where they part, from its segments' hashes.
+
+    ``segments`` has by..., idx_start, prev_hash, idx_end, end_hash. Where several end at one size and hash
+    the one that begins last (the finest, of those whose begin is known) leads there. Of several that begin at one size and
+    hash the one of least (end, hash) carries the line on, the others are forks of it. A branch is
+    named by the end hash of its first segment; parents of lines that begin without an anchor are null.
+    Repeated and empty segments don't count. Lines are followed by pointer doubling.
+    """
+    spark, root = segments.sparkSession, work_folder(segments.sparkSession, "fork-tree")
+    e = segments.where("idx_start < idx_end").select(*by, "idx_start", "prev_hash", "idx_end", "end_hash").distinct()
+    begin, end = [*by, "idx_start", "prev_hash"], [*by, "idx_end", "end_hash"]
+    ends = e.select(*[F.col(c).alias(b) for c, b in zip(end, begin)]).distinct().withColumn("_known", F.lit(True))
+    best = F.max(F.struct(F.coalesce("_known", F.col("idx_start") == 0).alias("known"), F.col("idx_start"), F.col("prev_hash")))
+    own = e.join(ends, begin, "left").groupBy(*end).agg(best.alias("_b")).select(*by, "_b.idx_start", "_b.prev_hash", "idx_end", "end_hash")
+    first = F.min(F.struct("idx_end", "end_hash")).over(Window.partitionBy(*begin))
+    own = own.withColumn("_main", first == F.struct("idx_end", "end_hash")).withColumn("_side", F.when(~F.col("_main"), first["end_hash"]))
+    own.write.parquet(f"{root}/own")
+    own = spark.read.schema(own.schema).parquet(f"{root}/own")
+    before = own.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("idx_end").alias("_end"), F.col("end_hash").alias("_before"))
+    on = (own["idx_start"] == before["_end"]) & (own["prev_hash"] == before["_before"])
+    for c in by:
+        on = on & (own[c] == before[f"_{c}"])
+    # An end hash names a segment now; ``_to`` is the one that its line comes from, or itself where a branch begins.
+    linked = own.join(before, on, "left").select(*own.columns, "_before")
+    linked.write.parquet(f"{root}/linked")
+    linked = spark.read.schema(linked.schema).parquet(f"{root}/linked")
+    way = linked.select(*by, "idx_end", "end_hash", F.when(F.col("_main"), F.col("_before")).alias("_to"), F.when(F.col("_main") & F.col("_before").isNotNull(), F.col("idx_start")).alias("_at"))
+    for i in count():
+        way.write.parquet(f"{root}/{i}")
+        way = spark.read.schema(way.schema).parquet(f"{root}/{i}")
+        up = way.select(*by, F.col("idx_end").alias("_at"), F.col("end_hash").alias("_to"), F.col("_at").alias("_next_at"), F.col("_to").alias("_next"))
+        if way.join(up, [*by, "_at", "_to"]).where("_next IS NOT NULL").isEmpty():
+            break
+        way = way.join(up, [*by, "_at", "_to"], "left").select(*by, "idx_end", "end_hash", F.coalesce("_next", "_to").alias("_to"), F.when(F.col("_next").isNotNull(), F.col("_next_at")).otherwise(F.col("_at")).alias("_at"))
+    of = way.select(*by, "idx_end", "end_hash", F.coalesce("_to", "end_hash").alias("branch"))
+    lines = linked.join(of, [*by, "idx_end", "end_hash"])
+    heads = lines.groupBy(*by, "branch").agg(F.max(F.struct("idx_end", "end_hash")).alias("_h"))
+    starts = lines.where(F.col("branch") == F.col("end_hash")).select(*by, "branch", F.when(~F.col("_main"), F.col("idx_start")).alias("fork_size"), F.when(~F.col("_main"), F.coalesce("_before", "_side")).alias("_up"))
+    parents = of.select(*by, F.col("end_hash").alias("_up"), F.col("branch").alias("parent"))
+    return starts.join(heads, [*by, "branch"]).join(parents, [*by, "_up"], "left").select(*by, "branch", "parent", "fork_size", F.col("_h.idx_end").alias("head_size"), F.col("_h.end_hash").alias("head_hash"))
+
+
 def covered_ranges(ranges: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Union of half-open ranges per ``by``; ranges that touch become one. Empty and null ranges don't count."""
     real = ranges.where(F.col(start) < F.col(end)).groupBy(*by, start).agg(F.max(end).alias(end))

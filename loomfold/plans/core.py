@@ -431,6 +431,24 @@ def fork_points(spark, d):
     return _hexed(logs.fork_points(table(spark, d, "segments"), _b(spark, d)), "container")
 
 
+@query("fork_tree", """WITH RECURSIVE e0 AS (SELECT DISTINCT peer, s.container_id AS c, s.idx_start AS a, s.prev_chain_hash AS p, s.idx_end AS z, s.end_chain_hash AS h FROM (SELECT peer, unnest(self_segments) AS s FROM packs) WHERE s.idx_start < s.idx_end AND peer IS NOT NULL AND s.container_id IS NOT NULL AND s.prev_chain_hash IS NOT NULL AND s.end_chain_hash IS NOT NULL),
+e AS (SELECT * FROM e0 UNION SELECT peer, c, a, p, z, unhex(sha256(h)) FROM e0 WHERE z % 3 = 0),
+x AS (SELECT DISTINCT peer, c, z, h FROM e),
+o AS (SELECT e.peer, e.c, e.z, e.h, max(struct_pack(k := e.a = 0 OR x.h IS NOT NULL, a := e.a, p := e.p)) AS m FROM e LEFT JOIN x ON x.peer = e.peer AND x.c = e.c AND x.z = e.a AND x.h = e.p GROUP BY ALL),
+f AS (SELECT peer, c, m.a AS a, m.p AS p, z, h FROM o),
+g AS (SELECT *, row_number() OVER w = 1 AS main, first_value(h) OVER w AS side FROM f WINDOW w AS (PARTITION BY peer, c, a, p ORDER BY z, h)),
+l AS (SELECT g.*, b.h AS before FROM g LEFT JOIN f b ON b.peer = g.peer AND b.c = g.c AND b.z = g.a AND b.h = g.p),
+r AS (SELECT peer, c, z, h, h AS branch FROM l WHERE NOT main OR before IS NULL UNION ALL SELECT l.peer, l.c, l.z, l.h, r.branch FROM r JOIN l ON l.peer = r.peer AND l.c = r.c AND l.a = r.z AND l.p = r.h AND l.main)
+SELECT l.peer, hex(l.c) AS container, hex(l.h) AS branch, hex(u.branch) AS parent, CASE WHEN NOT l.main THEN l.a END AS fork_size, d.z AS head_size, hex(d.h) AS head_hash FROM l JOIN (SELECT peer, c, branch, max(struct_pack(z := z, h := h)) AS m, max(z) AS z, arg_max(h, z) AS h FROM r GROUP BY ALL) d ON d.peer = l.peer AND d.c = l.c AND d.branch = l.h
+LEFT JOIN r u ON u.peer = l.peer AND u.c = l.c AND u.h = coalesce(l.before, l.side) AND NOT l.main WHERE NOT l.main OR l.before IS NULL""")
+def fork_tree(spark, d):
+    """The lines of the logs that packs carry, and where they part; every third end gets a second line beside it."""
+    s = table(spark, d, "packs").where("peer IS NOT NULL").select("peer", F.explode("self_segments").alias("s"))
+    rows = s.select("peer", F.col("s.container_id").alias("container"), "s.idx_start", F.col("s.prev_chain_hash").alias("prev_hash"), "s.idx_end", F.col("s.end_chain_hash").alias("end_hash")).dropna()
+    rows = rows.unionByName(rows.where("idx_end % 3 = 0").withColumn("end_hash", F.unhex(F.sha2("end_hash", 256))))
+    return _hexed(logs.fork_tree(rows, ["peer", "container"]), "container", "branch", "parent", "head_hash")
+
+
 @query("heads_by_log", "SELECT peer, hex(container) AS container, string_agg(head_size || ':' || hex(head_hash), ' ' ORDER BY head_size, hex(head_hash)) AS heads FROM branches GROUP BY peer, container")
 def heads_by_log(spark, d):
     text = F.array_join(F.transform("heads", lambda h: F.concat(h["head_size"].cast("string"), F.lit(":"), h["head_hash"])), " ")

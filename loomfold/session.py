@@ -18,11 +18,14 @@ _shipped: set[str] = set()
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (tests, single machine) a folder of this process is made.
+    Only where it is unset a folder of this process is made, and only on a single machine: on a
+    cluster that raises, as its executors would not see the folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="loomfold-")
@@ -68,6 +71,16 @@ def width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows for a map that is heavy on CPU: dealt out anew only where the scan gives fewer tasks than there are cores."""
+    """Rows for a map that is heavy on CPU, by the setting ``spark.loomfold.spread``.
+
+    "always" deals them out anew to four tasks a core, "never" leaves them as they are scanned,
+    "auto", the default, deals them out only where the scan gives fewer tasks than there are
+    cores. The rows are the same whichever it is.
+    """
+    how = df.sparkSession.conf.get("spark.loomfold.spread", "auto")
+    if how not in ("always", "never", "auto"):
+        raise ValueError(f"spark.loomfold.spread can't be {how}")
+    if df.isStreaming or how == "never":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores) if how == "always" or df.rdd.getNumPartitions() < cores else df

@@ -319,6 +319,13 @@ def test_entry_hashes_chains_and_local_writes(spark):
     assert heads[c] == (6, 6, chain) and heads[b"d" * 16][:2] == (8, 5)
 
 
+def test_fork_tree(spark):
+    """A line in three segments and once in one, a fork of it that forks again, a line without an anchor, repeats, an empty segment."""
+    rows = [("l", 0, "s", 3, "a"), ("l", 3, "a", 5, "b"), ("l", 5, "b", 9, "c"), ("l", 0, "s", 9, "c"), ("l", 3, "a", 6, "x"), ("l", 6, "x", 7, "y"), ("l", 6, "x", 8, "z"), ("l", 8, "z", 12, "w"), ("l", 20, "q", 22, "r"), ("l", 3, "a", 5, "b"), ("l", 4, "k", 4, "k"), ("m", 0, "s", 3, "a")]
+    t = logs.fork_tree(spark.createDataFrame(rows, "log string, idx_start bigint, prev_hash string, idx_end bigint, end_hash string"), ["log"])
+    assert {tuple(r) for r in t.collect()} == {("l", "a", None, None, 9, "c"), ("l", "x", "a", 3, 7, "y"), ("l", "z", "x", 6, 12, "w"), ("l", "r", None, None, 22, "r"), ("m", "a", None, None, 3, "a")}
+
+
 def test_catch_up_equals_sequential(spark):
     rng = random.Random(11)
     rows, segs = [], []
