@@ -25,6 +25,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,18 +156,24 @@ def words(passage: str, small=frozenset()) -> tuple[str, ...]:
     # Letters that are spelt out stand alone, but for the first and last, which may touch a sign.
     if "_" in low or sum(len(w) == 1 for w in found) > 1 or any(c in low for c in "*@$|"):
         found = _WORD.findall(_SPELT.sub(lambda m: re.sub(r"[ .\-_]", "", m.group()), low))
-    return tuple(map(_spelling, found))
+    seen = _spellings
+    return tuple([s if (s := seen.get(w)) is not None else _spelling(w) for w in found])
 
 
-def features(ws: Iterable[str], known) -> list[str]:
+def features(ws: Iterable[str], known) -> set[str]:
     """Known words, and pairs of neighbours in which a run of unknown words is one blank."""
-    m: list[str] = []
+    out, last = set(), ""
     for w in ws:
         if w in known:
-            m.append(w)
-        elif not m or m[-1] != "·":
-            m.append("·")
-    return [w for w in m if w != "·"] + [f"{a} {b}" for a, b in zip(m, m[1:])]
+            out.add(w)
+        elif last == "·":
+            continue
+        else:
+            w = "·"
+        if last:
+            out.add(last + " " + w)
+        last = w
+    return out
 
 
 @dataclass
@@ -177,9 +184,9 @@ class Vocabulary:
 
     def vector(self, ws: tuple[str, ...]) -> tuple[tuple[int, ...], int]:
         """Ids of the features, each once, and the number of features without an id."""
-        f = set(features(ws, self.known))
-        ids = [i for w in f if (i := self.ids.get(w)) is not None]
-        return tuple(sorted(ids)), len(f) - len(ids)
+        f = features(ws, self.known)
+        ids = sorted([i for i in map(self.ids.get, f) if i is not None])
+        return tuple(ids), len(f) - len(ids)
 
     def of(self, passage: str) -> tuple[tuple[int, ...], int]:
         ws = words(passage, self.small)
@@ -474,19 +481,18 @@ def labelled(documents: DataFrame, review_labels: DataFrame, flagged_most: int =
     return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
 
 
-def _record(key: tuple[tuple[int, ...], int]) -> bytes:
-    """A passage's features as 32-bit numbers: how many, how many others, and their ids."""
-    return array("i", [len(key[0]), key[1], *key[0]]).tobytes()
+#: 32-bit numbers of a document's distinct passages that have features: how many ids each has, how many features without one, and all ids.
+_NUMBERS = ("sizes", "others", "ids")
 
 
 def _cut(documents: DataFrame, vocab: Vocabulary, carry: list[str], keep: bool) -> DataFrame:
-    """(carry..., features, counted, counts): a row for each document with the records of its distinct passages, and one for each task with its document frequencies.
+    """(carry..., _NUMBERS..., counted, counts): a row for each document with the features of its passages, and one for each task with its document frequencies.
 
     ``counted`` -1 is the number of documents. Without ``keep`` there are only the latter rows.
     """
     shared, kinds = documents.sparkSession.sparkContext.broadcast(vocab), [documents.schema[c].dataType for c in carry]
     out = T.StructType([T.StructField(c, k) for c, k in zip(carry, kinds)])
-    out = T.StructType([*out, T.StructField("features", T.BinaryType()), T.StructField("counted", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    out = T.StructType([*out, *[T.StructField(c, T.BinaryType()) for c in _NUMBERS], T.StructField("counted", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -494,29 +500,32 @@ def _cut(documents: DataFrame, vocab: Vocabulary, carry: list[str], keep: bool)
         v, schema = shared.value, to_arrow_schema(out)
         total, memo = np.zeros(len(v.ids) + 1, np.int64), {}
         for b in batches:
-            cells = []
+            cells: tuple[list, list, list] = ([], [], [])
             for text in b.column(0).to_pylist():
                 total[-1] += 1
                 found: set[int] = set()
-                records: dict[bytes, None] = {}
+                keys: dict[tuple, None] = {}
                 for p in passages(text) if text else ():
-                    got = memo.get(p)
-                    if got is None:
+                    key = memo.get(p)
+                    if key is None:
                         if len(memo) >= MEMO:
                             memo.clear()
-                        key = v.of(p)
-                        got = memo[p] = (key[0], _record(key) if key[0] else b"")
-                    found.update(got[0])
-                    records[got[1]] = None
+                        key = memo[p] = v.of(p)
+                    if key[0]:
+                        keys[key] = None
+                for ids, _ in keys:
+                    found.update(ids)
                 total[list(found)] += 1
-                cells.append(b"".join(records))
+                if keep:
+                    for cell, numbers in zip(cells, ([len(k[0]) for k in keys], [k[1] for k in keys], chain.from_iterable(k[0] for k in keys))):
+                        cell.append(array("i", numbers).tobytes())
             if keep:
                 none = [pa.nulls(b.num_rows, schema.field(c).type) for c in ("counted", "counts")]
-                yield pa.RecordBatch.from_arrays([*[b.column(i + 1).cast(schema.field(i).type) for i in range(len(carry))], pa.array(cells, pa.binary()), *none], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[b.column(i + 1).cast(schema.field(i).type) for i in range(len(carry))], *[pa.array(c, pa.binary()) for c in cells], *none], schema=schema)
         at = np.flatnonzero(total)
         if len(at):
             ids = np.where(at == len(v.ids), -1, at)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, schema.field(c).type) for c in (*carry, "features")], pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array([total[at].tolist()], pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, schema.field(c).type) for c in (*carry, *_NUMBERS)], pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array([total[at].tolist()], pa.list_(pa.int64()))], schema=schema)
 
     return spread(documents.select("text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])).mapInArrow(run, out)
 
@@ -562,26 +571,47 @@ def probabilities(documents: DataFrame, review_labels: DataFrame, carry: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
         for b in batches:
-            found = []
-            for cell in b.column(n).to_pylist():
-                best, at, numbers = 0.0, 0, array("i", cell)
-                while at < len(numbers):
-                    end = at + 2 + numbers[at]
-                    key = cell[4 * at : 4 * end]
-                    vote = memo.get(key)
-                    if vote is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        vote = memo[key] = m.passage(tuple(numbers[at + 2 : end]), numbers[at + 1])[0]
-                    best, at = max(best, vote), end
-                found.append(m.probability(best))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], pa.array(found, pa.float64())], [*[f"c{i}" for i in range(n)], "probability"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], pa.array(_best_votes(m, *b.columns[n:], memo), pa.float64())], [*[f"c{i}" for i in range(n)], "probability"])
 
-    named = cut.where("features IS NOT NULL").select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], "features")
+    named = cut.where("ids IS NOT NULL").select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], *_NUMBERS)
     out = T.StructType([*[T.StructField(f"c{i}", cut.schema[c].dataType) for i, c in enumerate(carry)], T.StructField("probability", T.DoubleType())])
     return named.mapInArrow(run, out).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a binary column, all in a row, and how many each cell has."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return whole.view(np.int32) if whole.size else np.empty(0, np.int32), np.diff(at) // 4
+
+
+def _best_votes(m: Model, sizes: pa.Array, others: pa.Array, ids: pa.Array, memo: dict) -> np.ndarray:
+    """The probability of each document by the greatest vote among its passages.
+
+    That most passages can't come near an objectionable example is told for all of a batch at once.
+    """
+    n, passages_of = _flat(sizes)
+    best = np.zeros(len(sizes))
+    if n.size and m.index is not None and m.hot:
+        other, ids_ = _flat(others)[0], _flat(ids)[0]
+        start = np.cumsum(n) - n
+        near = np.add.reduceat(np.array(m.reach)[ids_], start)
+        square = np.add.reduceat(np.array(m.square)[ids_], start) + other * (OTHER * OTHER)
+        document = np.repeat(np.arange(len(sizes)), passages_of)
+        for i in np.flatnonzero(near >= 0.9998 * RADIUS * np.sqrt(square)):
+            key = ids_[start[i] : start[i] + n[i]].tobytes() + other[i].tobytes()
+            vote = memo.get(key)
+            if vote is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                vote = memo[key] = m.passage(tuple(ids_[start[i] : start[i] + n[i]].tolist()), int(other[i]))[0]
+            d = document[i]
+            if vote > best[d]:
+                best[d] = vote
+    return m.steps[1][np.maximum(np.searchsorted(m.steps[0], best, side="right") - 1, 0)]
+
+
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, probability, evidence, example_doc_id, cosine) of every row.
 
