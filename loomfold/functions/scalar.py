@@ -49,6 +49,11 @@ def parse_peer_hex(text: Column) -> Column:
     return F.when(text.rlike("^[0-9a-f]{64}$"), F.unhex(text))
 
 
+def peer_of(app_id: Column, commitment: Column, prefix: str = HASH_PREFIX) -> Column:
+    """The peer id that an init record's commitment stands for, which nobody can choose; records whose id is another are forged or damaged."""
+    return tagged_sha256("PeerInit", app_id, commitment, prefix=prefix)
+
+
 def is_uuid(value: Column) -> Column:
     return F.octet_length(value) == 16
 

@@ -168,6 +168,11 @@ def catch_up(branches: DataFrame, segments: DataFrame) -> DataFrame:
     return own.join(starts, "id").select("id", F.when(F.col("_starts"), F.col("reach")).otherwise(F.col("commit_size")).alias("commit_size"), outcome.alias("outcome"))
 
 
+def peer_inits(inits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The init records of the peers asked for, by ``peer_id``; peers without a record give no row."""
+    return inits.join(wanted.select("peer_id").distinct(), "peer_id", "left_semi")
+
+
 def latest_change(branches: DataFrame) -> DataFrame:
     """One row: the greatest stamp of a change, 0 if there is none."""
     return branches.agg(F.coalesce(F.max("changed_at"), F.lit(0).cast("bigint")).alias("changed_at"))

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfold.operators import fold
+from loomfold.operators import feed, fold
 from loomfold.schema import Catalog, SchemaError, Table, reconcile
+from loomfold.schema import table as declare
 
 #: Parsed commands that only describe, by the name of their plan, and kinds of plans that aren't plain queries.
 DESCRIBING = ("DescribeRelation", "DescribeRelationJson", "DescribeColumn", "DescribeTableCommand", "DescribeQueryCommand", "DescribeFunction", "DescribeFunctionCommand", "DescribeNamespace", "ShowTables", "ShowTablesCommand", "ShowColumns", "ShowColumnsCommand", "ShowFunctions", "ShowFunctionsCommand", "ShowViews", "ShowNamespaces", "ShowTableProperties", "ShowPartitions", "ShowCreateTable")
@@ -193,6 +194,65 @@ class Store:
         return self.spark.sql(text, args=[bind(a) for a in args]) if args else self.spark.sql(text)
 
 
+class Domain:
+    """Tables declared in one place, each with its reads, writes and events.
+
+    ``Domain(spark, {"notes": (5, {"k": "i64"}, {"a": "text"})})`` gives ``domain.notes`` with get, all,
+    query, upsert, delete and watch. ``load`` says what operations the tables are made of.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, tuple]):
+        self.store = Store(spark)
+        self.catalog = Catalog([declare(name, *spec) for name, spec in tables.items()])
+        self.ops: dict[str, DataFrame] = {}
+        for t in self.catalog.by_name.values():
+            setattr(self, t.name, Accessor(self, t))
+
+    def load(self, **ops: DataFrame) -> Domain:
+        for name, df in ops.items():
+            self.ops[name] = df
+            self.store.register(self.catalog.by_name[name], df)
+        return self
+
+    def write(self, *stamped: tuple[int, Upsert | Delete]) -> Domain:
+        """Add stamped operations, of any of the tables, after those that there are."""
+        for name in dict.fromkeys(op.table.name for _, op in stamped):
+            t = self.catalog.by_name[name]
+            new = ops_frame(self.store.spark, t, [(ts, op) for ts, op in stamped if op.table.name == name])
+            had = self.ops.get(name)
+            after = 0 if had is None else (had.agg(F.max("_seq")).first()[0] or 0) + 1
+            new = new.withColumn("_seq", F.col("_seq") + after)
+            self.load(**{name: new if had is None else had.unionByName(new, allowMissingColumns=True)})
+        return self
+
+
+@dataclass
+class Accessor:
+    """The reads, writes and events of one table of a domain."""
+
+    domain: Domain
+    table: Table
+
+    def get(self, *key: Any) -> Row | None:
+        return one(self.domain.store.get(self.table.name, *key))
+
+    def all(self) -> DataFrame:
+        return self.domain.store.get_all(self.table.name)
+
+    def query(self, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return self.domain.store.query(self.table.name, build)
+
+    def upsert(self, *key: Any, **values: Any) -> Upsert:
+        return upsert(self.table, *key).set(**values)
+
+    def delete(self, *key: Any) -> Delete:
+        return delete(self.table, *key)
+
+    def watch(self, **key: Any) -> DataFrame:
+        """The events of the table, or of the rows with some key values."""
+        return feed.watch(feed.change_feed(self.domain.ops[self.table.name], self.table, "_seq"), **key)
+
+
 def first(df: DataFrame) -> Row | None:
     return df.first()
 

@@ -22,7 +22,8 @@ from loomfold.functions.codec import DecodeError, get_uint, put_uint
 from loomfold.functions.scalar import HASH_PREFIX, tagged_sha256
 from loomfold.operators import packfiles
 from loomfold.operators.references import matching
-from loomfold.session import ship
+from loomfold.session import ship, work_folder
+from loomfold.sources.versioned import Version, VersionedTable
 
 #: Version of headers, bytes of a signature after its kind, most bytes of a segment's entries, kinds of entries and encodings.
 VERSION, SIGNATURE, MOST_PLAIN = 0, 64, 1 << 27
@@ -573,6 +574,36 @@ def blocked(packs: DataFrame, carry: list[str], parents: DataFrame, peers: DataF
     return both.groupBy(*carry).agg(F.flatten(F.collect_list("flags")).alias("flags"), F.max("pending_parents").alias("pending_parents"), F.max("missing_peers").alias("missing_peers"))
 
 
+#: What a replica has read: a row for each entry, and one without an entry for each pack.
+READ = T.StructType([T.StructField(c, k) for c, k in (("path", T.StringType()), ("pack_id", T.LongType()), ("seq_end", T.LongType()), ("peer_id", T.BinaryType()), ("container", T.BinaryType()), ("idx", T.LongType()), ("entry_type", T.StringType()), ("ts", T.LongType()), ("user_id", T.BinaryType()), ("body", T.BinaryType()))])
+
+
+def read_round(spark: SparkSession, folder: str, target: VersionedTable, peers: DataFrame, prefix: str = HASH_PREFIX) -> tuple[Version, DataFrame]:
+    """One round of reading the packs below a folder into ``target`` (READ): (version, blocked packs with the reasons).
+
+    The target is the only state: packs it doesn't hold are read, whole or not at all, and those
+    that are blocked are tried again with the next round. A parent counts if it was read before or is read
+    now; what waits for a pack that is blocked itself comes in the round after that one is read.
+    """
+    base = target.current()
+    held = target.read(base).where("entry_type IS NULL AND idx IS NULL").select("path", "pack_id", "seq_end")
+    metas = _files(spark, folder, ".uqp.meta").select("path", F.col("content").alias("header"), F.regexp_extract("path", "[^/]+$", 0).alias("file_name"))
+    todo = canonical(matching(metas, held.select("path"), ["path"], "left_anti")).select("path", "pack_id", "seq_end", "header")
+    bodies_ = _files(spark, folder, ".uqp").select(F.concat("path", F.lit(".meta")).alias("path"), F.col("content").alias("body"))
+    todo = todo.join(bodies_, "path", "left")
+    here = held.select(F.col("pack_id").alias("id"), F.col("seq_end").alias("end_seq"))
+    broken = unpack(todo, ["path"], prefix).where("error IS NOT NULL").select("path").distinct()
+    sound = matching(todo, broken, ["path"], "left_anti").select(F.col("pack_id").alias("id"), F.col("seq_end").alias("end_seq"))
+    stuck = blocked(todo, ["path"], here.unionByName(sound).distinct(), peers, prefix)
+    stuck_at = work_folder(spark, "blocked")
+    stuck.write.parquet(stuck_at)
+    stuck = spark.read.schema(stuck.schema).parquet(stuck_at)
+    good = matching(todo, stuck.select("path"), ["path"], "left_anti")
+    entries_ = unpack(good, ["path", "pack_id", "seq_end"], prefix).drop("error")
+    marks = good.select("path", "pack_id", "seq_end")
+    return target.append(entries_.unionByName(marks, allowMissingColumns=True).select(*READ.names), base=base), stuck
+
+
 def named(packs: DataFrame, carry: list[str]) -> DataFrame:
     """(carry..., ref_id, end_seq, peer_id): the parents and the peers that headers name; headers that can't be read name none."""
     ship(packs.sparkSession)

@@ -113,6 +113,18 @@ def test_store(spark):
     assert q.bind(True) == 1 and q.bind(me) == me.bytes and q.quote("a`b") == "`a``b`"
 
 
+def test_domain(spark):
+    d = q.Domain(spark, {"notes_d": (5, {"k": "i64"}, {"a": "text", "b": "i64"}), "tags_d": (6, {"t": "text"}, {})})
+    d.write((1, d.notes_d.upsert(1, a="x")), (2, d.tags_d.upsert("red")), (3, d.notes_d.upsert(2, b=7)))
+    d.write((4, d.notes_d.delete(2)), (5, d.notes_d.upsert(1, b=None)))
+    assert tuple(d.notes_d.get(1)) == (1, "x", None) and d.notes_d.get(2) is None and d.tags_d.all().count() == 1
+    assert d.notes_d.query(lambda x: x.where("a = 'x'")).count() == 1
+    assert [(r["kind"], r["changed"]) for r in d.notes_d.watch(k=1).orderBy("_seq").collect()] == [("U", ["a"]), ("U", ["b"])]
+    assert d.store.sql("SELECT count(*) AS n FROM notes_d, tags_d").first()["n"] == 1
+    with pytest.raises(SchemaError):
+        d.notes_d.upsert(1, c=1)
+
+
 def test_key_filter_reaches_the_scan(spark, small):
     from loomfold.plans import fixtures as fx
 
@@ -445,6 +457,37 @@ def test_rounds_of_packs(spark, tmp_path):
     assert all(r["pending_parents"] == 1 for r in pk.blocked(spark.createDataFrame(odd[:1], "name string, header binary, body binary"), ["name"], spark.createDataFrame([], "id bigint, end_seq bigint"), peers).collect())
 
 
+def test_rounds_of_reading(spark, tmp_path):
+    """A pack that waits for its parent, one that is damaged, and both again once they are whole."""
+    me, other, folder = b"m" * 32, b"o" * 32, str(tmp_path / "t" / "me")
+    c = b"c" * 16
+    segs, _ = log_segments(me, c, [2, 3])
+
+    def pack(i, parents, peers=()):
+        a, z, body = segs[i]
+        s = pk.open_segment(body)
+        d = {"container_id": c, "idx_start": a, "idx_end": z, "prev_chain_hash": s.before, "end_chain_hash": b"h" * 32, "body_start": 0, "body_end": len(body)}
+        return {"packed_at": 1, "parents": parents, "self_supersedes": [], "self_segments": [d], "peer_data": [{"peer_id": p, "supersedes": [], "segments": []} for p in peers], "body_sha256": pk.body_hash(body), "signature": pk.UNSIGNED}, body
+
+    target = VersionedTable(spark, str(tmp_path / "read"), pk.READ)
+    none, known = spark.createDataFrame([], "peer_id binary"), spark.createDataFrame([(other,)], "peer_id binary")
+    first, second = pack(0, []), pack(1, [{"id": 10, "end_seq": 2}], [other])
+    pk.write_pack(folder, "0002-0003-000000000000000b-00", *second)
+    pk.write_pack(folder, "0001-0002-000000000000000a-00", first[0], b"half")
+    stuck = lambda df: {r["path"][-38:-9]: (r["flags"], r["pending_parents"], r["missing_peers"]) for r in df.collect()}
+    a, b = "0001-0002-000000000000000a-00", "0002-0003-000000000000000b-00"
+    _, left = pk.read_round(spark, str(tmp_path), target, none)
+    assert stuck(left) == {a: (["bad_body_hash"], 0, 0), b: ([], 1, 1)} and target.read().count() == 0
+    pk.write_pack(folder, a, *first)
+    _, left = pk.read_round(spark, str(tmp_path), target, none)
+    assert stuck(left) == {b: ([], 0, 1)}
+    for _ in range(2):
+        _, left = pk.read_round(spark, str(tmp_path), target, known)
+        assert left.count() == 0
+        assert sorted(r["idx"] for r in target.read().where("entry_type = 'op'").collect()) == [0, 1, 2, 3, 4]
+        assert target.read().where("entry_type IS NULL AND idx IS NULL").count() == 2
+
+
 def test_packs_round_trip(spark, tmp_path):
     folder = str(tmp_path / "_" / "ab")
     sign, h = b"\0" + b"s" * 64, b"h" * 32
