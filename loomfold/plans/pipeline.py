@@ -21,8 +21,10 @@ def p1_backlog(spark: SparkSession, folder: str) -> DataFrame:
     return synclog.to_handle(spark, folder).groupBy("record_type", "replica").agg(F.count("*").alias("n_waiting"), F.max("version").alias("newest_version"))
 
 
-def _log_key(peer_id, container):
-    return F.lower(F.concat(F.hex(peer_id), F.hex(container)))
+def _named_log(log_id):
+    """A log's bytes, peer and container, by its text; text that isn't of whole bytes stays text, which names no log."""
+    text = F.regexp_replace(F.lower(log_id), "[^0-9a-f]", "")
+    return F.when(F.length(text) % 2 == 0, F.unhex(text)).otherwise(text.cast("binary"))
 
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -32,10 +34,10 @@ def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     lost = orphan_keys(refs, packs.where("deleted_at IS NULL").select("pack_id", "seq_end"), ["pack_id"], "seq_end")
     pack_orphans = matching(refs, lost, ["pack_id", "seq_end"])
 
-    deps = table(spark, folder, "log_deps").select(F.col("dep_id").alias("row_id"), F.lit(0).cast("bigint").alias("ref_pos"), F.regexp_replace(F.lower("log_id"), "[^0-9a-f]", "").alias("log"), F.col("log_size").alias("size"), "hash_prefix", F.col("noted_at").alias("at"))
+    deps = table(spark, folder, "log_deps").select(F.col("dep_id").alias("row_id"), F.lit(0).cast("bigint").alias("ref_pos"), _named_log(F.col("log_id")).alias("log"), F.col("log_size").alias("size"), "hash_prefix", F.col("noted_at").alias("at"))
     peers = table(spark, folder, "peers").select(F.col("id").alias("peer"), "peer_id")
-    living = table(spark, folder, "branches").where("deleted_at IS NULL").join(peers, "peer").select(F.col("id").alias("branch_id"), _log_key(F.col("peer_id"), F.col("container")).alias("log"))
-    heads = table(spark, folder, "segments").join(living, "branch_id").select("log", F.col("end_size").alias("size"), "end_hash").distinct()
+    living = table(spark, folder, "branches").where("deleted_at IS NULL").join(peers, "peer").select(F.col("id").alias("branch_id"), F.concat("peer_id", "container").alias("log"))
+    heads = table(spark, folder, "segments").join(living, "branch_id").select("log", F.col("end_size").alias("size"), "end_hash")
     # Without a prefix any living branch of the log will do: such a reference is to the log's place 0, which every one has.
     bare, exact = F.col("hash_prefix").isNull().alias("bare"), F.col("hash_prefix").isNotNull()
     placed = deps.select("log", F.when(bare, 0).otherwise(F.col("size")).alias("size"), "hash_prefix", bare, "row_id", "ref_pos", "at")
@@ -44,7 +46,7 @@ def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     nowhere = orphan_keys(asked, places, ["log", "bare"], "size")
     # Where a head is there, its hash has to begin with the prefix.
     reached = matching(asked.where(exact), nowhere, ["log", "bare", "size"], "left_anti")
-    h = heads.select(F.col("log").alias("_log"), F.col("size").alias("_size"), "end_hash")
+    h = heads.distinct().select(F.col("log").alias("_log"), F.col("size").alias("_size"), "end_hash")
     wrong = reached.join(h, (F.col("log") == F.col("_log")) & (F.col("size") == F.col("_size")) & F.startswith("end_hash", "hash_prefix"), "left_anti")
     lost = matching(asked, nowhere, ["log", "bare", "size"]).unionByName(wrong)
     dep_orphans = matching(placed, lost, ["log", "bare", "size", "hash_prefix"])
