@@ -328,6 +328,7 @@ class Model:
     hot: int = 0  # blocks that hold objectionable examples
     reach: list[float] = field(default_factory=list)  # for each feature its greatest weight in them, times its idf
     square: list[float] = field(default_factory=list)  # and its idf squared
+    blocks: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))  # as reach, for each such block
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     def passage(self, ids: tuple[int, ...], others: int) -> tuple[float, float, int]:
@@ -414,6 +415,8 @@ def fit(vocab: Vocabulary, docs: list[set[tuple[str, ...]]], flagged: list[bool]
     near_hot = model.index.in_block < model.hot
     np.maximum.at(hottest, of[near_hot], model.index.most[near_hot])
     model.reach, model.square = (hottest * idf).tolist(), (idf * idf).tolist()
+    model.blocks = np.zeros((len(idf), model.hot), np.float32)
+    model.blocks[of[near_hot], model.index.in_block[near_hot]] = model.index.most[near_hot] * idf[of[near_hot]]
     model.value, model.weight, model.source = value[keep], weight[keep], [int(from_doc[i]) for i in keep]
     return model
 
@@ -599,7 +602,15 @@ def _best_votes(m: Model, sizes: pa.Array, others: pa.Array, ids: pa.Array, memo
         near = np.add.reduceat(np.array(m.reach)[ids_], start)
         square = np.add.reduceat(np.array(m.square)[ids_], start) + other * (OTHER * OTHER)
         document = np.repeat(np.arange(len(sizes)), passages_of)
-        for i in np.flatnonzero(near >= 0.9998 * RADIUS * np.sqrt(square)):
+        least = 0.9998 * RADIUS * np.sqrt(square)
+        left = np.flatnonzero(near >= least)
+        if left.size:
+            # Of those that might, block by block.
+            some = n[left]
+            first = np.cumsum(some) - some
+            at = np.repeat(start[left] - first, some) + np.arange(int(some.sum()))
+            left = left[np.add.reduceat(m.blocks[ids_[at]], first, axis=0).max(axis=1) >= least[left]]
+        for i in left:
             key = ids_[start[i] : start[i] + n[i]].tobytes() + other[i].tobytes()
             vote = memo.get(key)
             if vote is None:
