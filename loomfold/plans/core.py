@@ -336,14 +336,24 @@ def _containers(spark, d):
 _DUE = 1585000000000
 
 
-@query("publish_plan", f"""WITH {_PUBLISHED}, {_CONTAINERS}, s AS (SELECT DISTINCT branch_id, start_idx, end_size, len FROM segments)
+_PLAN = f"""WITH {_PUBLISHED}, {_CONTAINERS}, s AS (SELECT DISTINCT branch_id, start_idx, end_size, len FROM segments)
 SELECT s.branch_id, s.start_idx, s.end_size, s.len, b.peer, hex(b.container) AS container, p.published_size FROM s JOIN branches b ON b.id = s.branch_id LEFT JOIN containers c ON c.container = b.container JOIN peers e ON e.id = b.peer LEFT JOIN published p ON p.branch_id = b.id AND p.remote_id = 1
-WHERE coalesce(c.topic, 0) = 0 AND s.end_size > coalesce(p.published_size, 0) AND (b.peer = 1 OR p.pending_since < {_DUE})""")
+WHERE coalesce(c.topic, 0) = 0 AND s.end_size > coalesce(p.published_size, 0) AND (b.peer = 1 OR p.pending_since < {_DUE})"""
+
+
+@query("publish_plan", _PLAN)
 def publish_plan(spark, d):
     plan = logs.publish_plan(table(spark, d, "segments"), _b(spark, d), table(spark, d, "peers"), _published(spark, d), _containers(spark, d), 1, 0, 1, _DUE)
     return _hexed(plan, "container")
 
 
+@query("publish_order", _PLAN + " ORDER BY s.branch_id, s.end_size, s.start_idx")
+def publish_order(spark, d):
+    """The same in the order in which a pack takes it."""
+    plan = logs.publish_plan(table(spark, d, "segments"), _b(spark, d), table(spark, d, "peers"), _published(spark, d), _containers(spark, d), 1, 0, 1, _DUE)
+    return logs.publish_order(_hexed(plan, "container"))
+
+
 @query("pending_mark", f"WITH {_PUBLISHED} SELECT 1 AS remote_id, b.id AS branch_id, 0 AS published_size, {_DUE} AS pending_since FROM branches b LEFT JOIN published p ON p.branch_id = b.id AND p.remote_id = 1 WHERE p.pending_since IS NULL AND b.peer <> 1 AND b.head_size > coalesce(p.published_size, 0)")
 def pending_mark(spark, d):
     return logs.pending_marks(_b(spark, d), _published(spark, d), 1, 1, _DUE)

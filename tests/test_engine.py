@@ -331,6 +331,13 @@ def test_entry_hashes_chains_and_local_writes(spark):
     assert heads[c] == (6, 6, chain) and heads[b"d" * 16][:2] == (8, 5)
 
 
+def test_publish_order(spark, small):
+    from loomfold.plans.registry import ALL
+
+    rows = [(r["branch_id"], r["end_size"], r["start_idx"]) for r in ALL["publish_order"][0](spark, small).collect()]
+    assert rows == sorted(rows)
+
+
 def test_fork_tree(spark):
     """A line in three segments and once in one, a fork of it that forks again, a line without an anchor, repeats, an empty segment."""
     rows = [("l", 0, "s", 3, "a"), ("l", 3, "a", 5, "b"), ("l", 5, "b", 9, "c"), ("l", 0, "s", 9, "c"), ("l", 3, "a", 6, "x"), ("l", 6, "x", 7, "y"), ("l", 6, "x", 8, "z"), ("l", 8, "z", 12, "w"), ("l", 20, "q", 22, "r"), ("l", 3, "a", 5, "b"), ("l", 4, "k", 4, "k"), ("m", 0, "s", 3, "a")]
