@@ -196,8 +196,8 @@ def apply(spark: SparkSession, ops: DataFrame, target: VersionedTable, shape: Sh
     """
     ship(spark)
     base = target.current()
-    folded, n_bytes = bucketed.staged(spark, effective(ops, shape).mapInArrow(_prefold(shape, FOLD_ROWS), shape.schema))
-    plan = bucketed.plan(target, base, folded, n_bytes, [c for c, _ in shape.key], buckets)
+    folded = bucketed.staged(spark, effective(ops, shape).mapInArrow(_prefold(shape, FOLD_ROWS), shape.schema))
+    plan = bucketed.plan(target, base, folded, [c for c, _ in shape.key], buckets)
     rows = plan.incoming.withColumn("_new", F.lit(True))
     if plan.stored is not None:
         rows = plan.stored.withColumn("_new", F.lit(False)).unionByName(rows)

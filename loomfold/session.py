@@ -37,6 +37,12 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a work folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mounted(folder: str) -> str | None:
     """A shared folder as a path that a task can open by itself; None where only Spark's file systems reach it."""
     kind, colon, path = folder.partition(":")

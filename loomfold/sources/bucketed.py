@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfold.session import width, work_folder
+from loomfold.session import remove, width, work_folder
 from loomfold.sources.versioned import Version, VersionedTable
 
 #: Bytes of rows, as they lie in memory, that a bucket is planned for.
@@ -58,6 +58,7 @@ class Plan:
     incoming: DataFrame
     bytes: int
     seen: Observation | None
+    scratch: str
 
     @property
     def exact(self) -> bool:
@@ -65,19 +66,28 @@ class Plan:
         return self.tasks == self.buckets
 
 
-def staged(spark: SparkSession, states: DataFrame) -> tuple[DataFrame, int]:
+@dataclass(frozen=True)
+class Staged:
     """New states, written once so that they are computed once, and their bytes."""
+
+    states: DataFrame
+    bytes: int
+    path: str
+
+
+def staged(spark: SparkSession, states: DataFrame) -> Staged:
     seen, path = Observation(), work_folder(spark, "new-states")
     states.observe(seen, F.sum(row_bytes(states.schema)).alias("bytes")).write.parquet(path)
-    return spark.read.schema(states.schema).parquet(path), seen.get["bytes"] or 0
+    return Staged(spark.read.schema(states.schema).parquet(path), seen.get["bytes"] or 0, path)
 
 
-def plan(target: VersionedTable, base: Version, states: DataFrame, n_bytes: int, key: list[str], buckets: int | None = None) -> Plan:
-    """The buckets that ``states`` touch, with what is stored in them. ``buckets`` sets their number for a new table."""
+def plan(target: VersionedTable, base: Version, new: Staged, key: list[str], buckets: int | None = None) -> Plan:
+    """The buckets that new states touch, with what is stored in them. ``buckets`` sets their number for a new table."""
+    states, n_bytes = new.states, new.bytes
     spark, had = states.sparkSession, base.facts.get("buckets")
     if not had:
         n = buckets or max(width(spark), -(-n_bytes // BUCKET_BYTES))
-        return Plan(n, n, (), None, states.withColumn(BUCKET, bucket_of(key, n)), 0, None)
+        return Plan(n, n, (), None, states.withColumn(BUCKET, bucket_of(key, n)), 0, None, new.path)
     n = had
     while base.facts["bytes"] + n_bytes > n * BUCKET_BYTES:
         n *= 2
@@ -92,13 +102,15 @@ def plan(target: VersionedTable, base: Version, states: DataFrame, n_bytes: int,
     read = tuple(p for p in parts if p not in set(stays))
     seen = Observation() if read else None
     stored = target.read_parts(read).observe(seen, F.sum(row_bytes(target.schema)).alias("bytes")).withColumn(BUCKET, bucket_of(key, n)) if read else None
-    return Plan(n, max(1, min(n, len(touched))), stays, stored, incoming, base.facts["bytes"], seen)
+    return Plan(n, max(1, min(n, len(touched))), stays, stored, incoming, base.facts["bytes"], seen, new.path)
 
 
 def publish(target: VersionedTable, base: Version, p: Plan, merged: DataFrame, facts: dict | None = None) -> Version:
-    """The merged rows of the touched buckets, with their BUCKET, and all other buckets become the next version."""
+    """The merged rows of the touched buckets, with their BUCKET, and all other buckets become the next version. What was staged goes."""
     out = Observation()
     part = target.stage(merged.observe(out, F.sum(row_bytes(target.schema)).alias("bytes")), by=BUCKET)
     total = p.bytes - ((p.seen.get["bytes"] or 0) if p.seen else 0) + (out.get["bytes"] or 0)
     parts = (*p.stays, *(target.below(part) if p.stays else (part,)))
-    return target.commit(base, parts, {**(facts or {}), "buckets": p.buckets, "bytes": total, "rewritten": len(target.below(part))})
+    version = target.commit(base, parts, {**(facts or {}), "buckets": p.buckets, "bytes": total, "rewritten": len(target.below(part))})
+    remove(target.spark, p.scratch)
+    return version

@@ -164,8 +164,8 @@ def compact(spark: SparkSession, ingested: Ingested, target: VersionedTable, fil
     before, last = held.current(), ingested.last(spark)
     merged = before.facts.get("batch", -1)
     if merged < last:
-        new, n_bytes = bucketed.staged(spark, states(ingested.read(spark, merged)))
-        plan = bucketed.plan(held, before, new, n_bytes, ["pack_id", "seq_end"])
+        new = bucketed.staged(spark, states(ingested.read(spark, merged)))
+        plan = bucketed.plan(held, before, new, ["pack_id", "seq_end"])
         rows = plan.incoming if plan.stored is None else plan.stored.unionByName(plan.incoming)
         before = bucketed.publish(held, before, plan, _merged(rows.repartition(plan.tasks, BUCKET), [BUCKET, *_KEY]), {"batch": last})
     if base.facts.get("batch", -1) == last:

@@ -30,8 +30,8 @@ def states(ops: DataFrame, table: Table) -> DataFrame:
 
 def _merge_in(batch: DataFrame, target: VersionedTable, base: Version, table: Table, facts: dict, before: Callable[[DataFrame | None], None] | None = None) -> Version:
     """The next snapshot: partial states of the batch merged with those stored in the buckets they touch."""
-    new, n_bytes = bucketed.staged(batch.sparkSession, fold.partials(batch, table))
-    plan = bucketed.plan(target, base, new, n_bytes, table.keys)
+    new = bucketed.staged(batch.sparkSession, fold.partials(batch, table))
+    plan = bucketed.plan(target, base, new, table.keys)
     if before:
         before(target.read_parts(base.parts) if base.parts else None)
     rows = plan.incoming if plan.stored is None else plan.stored.unionByName(plan.incoming)
