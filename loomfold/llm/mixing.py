@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from loomfold.llm.bytepair import VOCABULARIES, token_counts
 from loomfold.session import work_folder
 
-#: Hash ranges by which a fraction of a source is taken; what it falls short by is less than any range left out.
+#: Hash ranges by which a fraction of a source is taken, and those that one range is split into where it doesn't fit whole.
 RANGES = 1 << 12
 #: Ranges in a number whose bits say which are taken.
 WORD = 32
@@ -91,8 +91,9 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
     Sizes are tokens. ``total`` is the wanted size of the mixture, by default what the sources
     hold together. A source to be used r times gives each document floor(r) times and, by a
     seeded hash of its id, a part of its documents once more: those of every one of RANGES ranges,
-    in their order, that still fits; never more than ``max_repeats`` times. What a source falls
-    short by, less than the tokens of any range left out, isn't given to others. Null and empty texts
+    in their order, that still fits, and of the first that doesn't those that fit by a second hash;
+    never more than ``max_repeats`` times. What a source falls short by, less than the tokens of any
+    document of that range that is left out, isn't given to others. Null and empty texts
     have no tokens, and documents of other or null sources no part. Equal ids fall in one range.
     """
     spark = documents.sparkSession
@@ -111,19 +112,26 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
     plan = fill(targets, available, sum(available.values()) if total is None else total)
     whole = {s.source: min(int(s.repeats), s.max_repeats) for s in plan}
     aims = spark.createDataFrame([(s.source, whole[s.source], float(max(0.0, s.goal - whole[s.source] * s.available))) for s in plan], "source string, whole int, extra double")
-    # A source has at most RANGES rows here, whatever its size, and then one row.
-    taken = ranges.join(F.broadcast(aims), "source").groupBy("source").applyInArrow(_taken, "source string, whole int, taken array<bigint>")
-    word = F.get("taken", F.expr(f"cast(bucket div {WORD} AS int)"))
-    once_more = F.expr(f"shiftright(_word, cast(bucket % {WORD} AS int)) & 1").cast("int")
-    rows = sizes.join(F.broadcast(taken), "source").withColumn("_word", word).withColumn("copies", F.col("whole") + once_more)
+    # A source has at most RANGES rows here, whatever its size, and then one row; and again for the range that is split.
+    shape = "source string, whole int, taken array<bigint>, split bigint, left double"
+    taken = ranges.join(F.broadcast(aims), "source").groupBy("source").applyInArrow(_taken, shape)
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed), F.lit(1)), F.lit(RANGES))
+    split = sizes.join(F.broadcast(taken.select("source", "split", F.col("left").alias("extra"))), "source").where("bucket = split").groupBy("source", part.alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("extra").alias("extra"), F.lit(0).alias("whole"))
+    parts = split.select("source", "bucket", "n", "whole", "extra").groupBy("source").applyInArrow(_taken, shape).select("source", F.col("taken").alias("parts"))
+    bit = lambda words, at: F.coalesce(F.expr(f"shiftright(get({words}, cast({at} div {WORD} AS int)), cast({at} % {WORD} AS int)) & 1"), F.lit(0)).cast("int")
+    known = sizes.join(F.broadcast(taken.select("source", "whole", "taken", "split")), "source").join(F.broadcast(parts), "source", "left").withColumn("_part", part)
+    once_more = F.greatest(bit("taken", "bucket"), F.when(F.col("bucket") == F.col("split"), bit("parts", "_part")).otherwise(0))
+    rows = known.withColumn("copies", F.col("whole") + once_more)
     return Mixture(rows.where("copies > 0").select("doc_id", "source", "copies", "n_tokens"), plan)
 
 
 def _taken(rows: pa.Table) -> pa.Table:
-    """A source's whole repetitions, and as bits the ranges it gives once more: each that fits beside those before it."""
-    left, words = rows["extra"][0].as_py(), [0] * (-(-RANGES // WORD))
+    """A source's whole repetitions; as bits the ranges it gives once more, each that fits beside those before it; the first that doesn't, and what is left for it."""
+    left, words, split = rows["extra"][0].as_py(), [0] * (-(-RANGES // WORD)), None
     for bucket, n in sorted(zip(rows["bucket"].to_pylist(), rows["n"].to_pylist())):
         if n <= left:
             left -= n
             words[bucket // WORD] |= 1 << bucket % WORD
-    return pa.table({"source": rows["source"][:1], "whole": rows["whole"][:1], "taken": pa.array([words], pa.list_(pa.int64()))})
+        elif split is None:
+            split = bucket
+    return pa.table({"source": rows["source"][:1], "whole": rows["whole"][:1].cast(pa.int32()), "taken": pa.array([words], pa.list_(pa.int64())), "split": pa.array([split], pa.int64()), "left": pa.array([left], pa.float64())})
