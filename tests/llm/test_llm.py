@@ -3,8 +3,10 @@
 import base64
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -245,6 +247,33 @@ def test_every_example_votes():
         assert np.allclose(sims, np.sort(s[s > 0])[::-1][: abuse.NEIGHBOURS], atol=1e-5)
 
 
+def test_gating_takes_bounded_memory():
+    """As many blocks of objectionable examples as a large labelled sample has, and a batch of long texts."""
+    rng = random.Random(9)
+    new = lambda: tuple(sorted(rng.sample(range(400), 10)))
+    examples = sorted({new() for _ in range(6400)})
+    model = abuse.Model(abuse.Vocabulary(set(), {}), hot=len(examples) // abuse.BLOCK)
+    idf = np.full(400, 3.0)
+    model.index, model.value, model.weight, model.source = abuse.Index(examples, idf, model.hot), np.ones(len(examples)), np.ones(len(examples)), list(range(len(examples)))
+    model.blocks = np.zeros((400, model.hot), np.float32)
+    of = np.repeat(np.arange(400), np.diff(model.index.list_start))
+    near = model.index.in_block < model.hot
+    model.blocks[of[near], model.index.in_block[near]] = model.index.most[near] * 3.0
+    model.reach, model.square = model.blocks.max(axis=1).tolist(), (idf * idf).tolist()
+    model.steps = np.linspace(0, 1, 500), np.linspace(0, 1, 500)
+    # Features that no example shares make most passages fall at the gates.
+    docs = [[(rng.choice(examples) if rng.random() < 0.002 else new(), rng.randrange(60)) for _ in range(20)] for _ in range(1500)]
+    cell = lambda numbers: np.array(numbers, np.int32).tobytes()
+    columns = [pa.array([cell(c(d)) for d in docs], pa.binary()) for c in (lambda d: [len(i) for i, _ in d], lambda d: [o for _, o in d], lambda d: [x for i, _ in d for x in i])]
+    tracemalloc.start()
+    got = abuse._best_votes(model, *columns, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    for d, p in list(zip(docs, got))[::10]:
+        assert p == model.probability(max(model.passage(*k)[0] for k in d))
+
+
 def test_no_labels_no_documents(spark):
     docs = spark.createDataFrame([(1, "You swine!", "a", "x", "y")], DOCS)
     none = spark.createDataFrame([], "doc_id bigint, rater string, label string")
