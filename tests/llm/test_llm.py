@@ -247,6 +247,17 @@ def test_every_example_votes():
         assert np.allclose(sims, np.sort(s[s > 0])[::-1][: abuse.NEIGHBOURS], atol=1e-5)
 
 
+def test_bounds_of_the_sample_leave_probabilities_as_they_are(spark):
+    """Clean documents beyond a bound aren't taken, but count: flags that err stay as rare as they are."""
+    rows = [(i, f"The harbour levy of row {i % 7} is late. " + ("You rotten swine!" if i < 30 else "Winter grain came."), "a", "x", "y") for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(i, "r", "flag" if i < 30 or i % 10 == 0 else "clean") for i in range(600)], "doc_id bigint, rater string, label string")
+    whole, part = (abuse.probabilities(docs, marks, ["doc_id"], clean_most=most).where("doc_id >= 30").agg(F.max("probability")).first()[0] for most in (4000, 60))
+    assert whole < 0.15 and abs(whole - part) < 0.05
+    bad = abuse.probabilities(docs, marks, ["doc_id"], clean_most=60).where(f"probability >= {abuse.FOUND}")
+    assert sorted(r["doc_id"] for r in bad.collect()) == list(range(30))
+
+
 def test_gating_takes_bounded_memory():
     """As many blocks of objectionable examples as a large labelled sample has, and a batch of long texts."""
     rng = random.Random(9)
